@@ -17,7 +17,7 @@ SAMPLE = 12_000
 #: Words that become features, at most: those whose presence depends most on the label.
 FEATURES = 1_024
 #: Documents of the sample that a word must be in to become a feature.
-LEAST = 8
+LEAST = 4
 GRADES = 4
 REJECT = 0.5
 
