@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixture, quality, shards, toxicity
+from . import bpe, media, minhash, mixture, quality, shards, toxicity
 from .base import table
 
 
@@ -28,6 +28,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("fingerprint_code", "fingerprint_time")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_mixture": op6_mixture,
     "op7_media": op7_media,
+    "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
