@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, mixture, quality, shards, toxicity
+from . import bpe, media, minhash, mixture, quality, shards, substrings, toxicity
 from .base import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", "n_spans", "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op3_toxicity": op3_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixture": op6_mixture,
