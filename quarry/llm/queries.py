@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, mixture, quality, shards, substrings, toxicity
+from . import bpe, media, minhash, mixture, quality, shards, substrings, suffixes, toxicity
 from .base import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_toxicity": op3_toxicity,
+    "op4_suffixes": op4_suffixes,
     "op5_sharding": op5_sharding,
     "op6_mixture": op6_mixture,
     "op7_media": op7_media,
