@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, mixture, quality, shards, substrings, suffixes, toxicity
+from . import bpe, covertree, media, minhash, mixture, quality, shards, substrings, suffixes, toxicity
 from .base import table
 
 
@@ -15,6 +15,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "n_spans", "text")
 
 
+def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op2_covertree": op2_covertree,
     "op3_toxicity": op3_toxicity,
     "op4_suffixes": op4_suffixes,
     "op5_sharding": op5_sharding,
