@@ -95,7 +95,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     id_type = kept.schema["d"].dataType.simpleString()
     every = kept.mapInArrow(_explode, f"h bigint, d {id_type}, pos int")
     first = every.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = every.join(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "h")
+    found = every.hint("merge").join(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "h")
     return found.where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("pos") == F.col("p0")))).select("d", "pos", "h")
 
 
@@ -104,7 +104,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Every sentence that a repeated run covers, other than the run's first place in the table, is removed with the white
     space after it. Each document's repeated runs, at most one a sentence, are gathered by doc_id and meet the texts in
-    one join; they are looked up by place and hash in the text, so documents that share a doc_id can't be cut for one
+    one join, a merge at any size; they are looked up by place and hash in the text, so documents that share a doc_id can't be cut for one
     another. Rows that repeat a doc_id and text are one place and are cut alike. Null and empty texts stay as they are; a
     text all of whose sentences are removed becomes empty (or the white space it begins with); runs never cross
     documents; an empty table gives an empty result. Where `docs` has columns of the added names, these replace them.
@@ -112,7 +112,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     added = ["n_sentences", "n_removed", "n_spans"]
     names = [c for c in docs.columns if c not in added]
     cuts = repeated(docs).groupBy("d").agg(F.collect_list("pos").alias("__pos"), F.collect_list("h").alias("__h"))
-    joined = columns(docs, names).join(cuts, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    joined = columns(docs, names).hint("merge").join(cuts, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", n_sentences bigint, n_removed bigint, n_spans bigint"
     where = names.index("text")

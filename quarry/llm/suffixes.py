@@ -278,7 +278,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = columns(docs, ["doc_id", "text"]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("r"), "text")
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchored, "a bigint, c bigint, r bigint, first int, count int")
     shared = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    places = stage(found.join(shared, "a", "left_semi"), "anchors")
+    places = stage(found.hint("merge").join(shared, "a", "left_semi"), "anchors")
     contexts = places.groupBy("a", "c").agg(F.min(F.struct("r", "first", "count")).alias("at"), F.count("*").alias("n"))
     contexts = contexts.select("a", "c", "n", F.col("at.r").alias("r"), F.col("at.first").alias("first"), F.col("at.count").alias("count"))
     crowded = contexts.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("a")
@@ -287,9 +287,9 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if any_hot:
         contexts = contexts.join(crowded, "a", "left_anti")
     # Documents of equal r are equal: one stands for all.
-    bytes_ = contexts.join(texts, "r").select("a", "c", "n", "first", "count", "text").mapInArrow(_contexts, "a bigint, c bigint, n bigint, context binary")
+    bytes_ = contexts.join(texts.hint("merge"), "r").select("a", "c", "n", "first", "count", "text").mapInArrow(_contexts, "a bigint, c bigint, n bigint, context binary")
     runs = bytes_.repartition("a").mapInArrow(_matched, "a bigint, c bigint, skip int, windows int")
-    out = places.join(runs, ["a", "c"]).select("r", (F.col("first") + F.col("skip")).alias("first"), "windows")
+    out = places.hint("merge").join(runs, ["a", "c"]).select("r", (F.col("first") + F.col("skip")).alias("first"), "windows")
     if any_hot:
         each = places.join(crowded, "a", "left_semi").join(texts, "r").mapInArrow(_windows, "h binary, r bigint, first int")
         many = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -307,6 +307,6 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     spans = repeated_windows(docs, hot).groupBy("r").agg(F.collect_list("first").alias("firsts"), F.collect_list("windows").alias("windows"))
     texts = columns(docs, ["doc_id", "text"]).withColumn("r", F.xxhash64("doc_id", "text"))
-    joined = texts.join(spans, "r", "left").select("doc_id", "text", "firsts", "windows")
+    joined = texts.hint("merge").join(spans, "r", "left").select("doc_id", "text", "firsts", "windows")
     id_type = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_kept, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
