@@ -156,13 +156,23 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links (node, leader) from rows sorted by band: one pass, only a band's leaders are held.
 
-    Each member is compared with the leaders of its band by sketch. It links to all within NEAR; unless one is within
-    OWN, it becomes a leader itself. A linked pair is never parted: if one of them is within OWN of a leader, the other
-    is within NEAR of it.
+    Each member is compared with the leaders of its band by sketch. It is in the canopies of all within NEAR; unless one
+    is within OWN, it becomes a leader itself. A linked pair is never parted: if one of them is within OWN of a leader,
+    the other is within NEAR of it. Canopies that share a member are one group, so a member links to the first leader
+    of its own only, and a leader to one that its canopy meets if these are not connected yet: a band has fewer links
+    than members and leaders together.
     """
     near, own = most_ones(NEAR), most_ones(OWN)
     key: int | None = None
     heads: list[tuple[int, np.ndarray]] = []
+    up: list[int] = []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
     for batch in batches:
         k = np.asarray(batch.column("band"))
         ids = np.asarray(batch.column("h1"))
@@ -177,22 +187,38 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone[0] &= k[0] != key
         for i, j in zip(lo[~alone].tolist(), hi[~alone].tolist(), strict=True):
             if k[i] != key:
-                key, heads = int(k[i]), []
-            left, covered, done = np.arange(i, j), np.zeros(j - i, bool), 0
+                key, heads, up = int(k[i]), [], []
+            left, covered, first, done = np.arange(i, j), np.zeros(j - i, bool), np.full(j - i, -1), 0
             while len(left):
                 if done == len(heads):
                     free = np.flatnonzero(~covered)
                     if not len(free):
                         break
-                    heads.append((int(ids[left[free[0]]]), sk[left[free[0]]].copy()))
-                    left, covered = left[free[0] + 1 :], covered[free[0] + 1 :]
+                    # Members before the new leader have met all leaders; it links to the first one near it.
+                    f = free[0]
+                    heads.append((int(ids[left[f]]), sk[left[f]].copy()))
+                    up.append(int(first[f]) if first[f] >= 0 else done)
+                    seen = first[:f] >= 0
+                    a.append(ids[left[:f]][seen])
+                    b.append(np.array([heads[h][0] for h in first[:f][seen]], np.int64))
+                    if first[f] >= 0:
+                        a.append(np.array([heads[done][0]]))
+                        b.append(np.array([heads[first[f]][0]]))
+                    left, covered, first = left[f + 1 :], covered[f + 1 :], first[f + 1 :]
                 head, bits = heads[done]
-                done += 1
                 ones = np.bitwise_count(sk[left] ^ bits).sum(1)
                 hit = (ones <= near) & (ids[left] != head)
-                a.append(ids[left[hit]])
-                b.append(np.full(int(hit.sum()), head, np.int64))
+                for other in np.unique(first[hit]):
+                    if other >= 0 and root(other) != root(done):
+                        up[root(other)] = root(done)
+                        a.append(np.array([head]))
+                        b.append(np.array([heads[other][0]]))
+                first[hit & (first < 0)] = done
                 covered |= ones <= own
+                done += 1
+            seen = first >= 0
+            a.append(ids[left[seen]])
+            b.append(np.array([heads[h][0] for h in first[seen]], np.int64))
         if a:
             pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node", "leader"])
@@ -280,7 +306,8 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     sizes = inside.groupBy("g").agg(F.ceil(F.sum("n") / together).cast("int").alias("m"))
     inside = stage(inside.join(sizes, "g").select("g", "m", "h1", "h2", "d"), "groups")
     texts = columns(docs, ["doc_id", "text"])
-    texts = texts.join(inside, F.col("doc_id").eqNullSafe(F.col("d"))).select("g", "m", "h1", "h2", "text")
+    # Not left to sizes: a broadcast of small candidate groups would be another plan than that of large ones.
+    texts = texts.hint("merge").join(inside, F.col("doc_id").eqNullSafe(F.col("d"))).select("g", "m", "h1", "h2", "text")
     large = inside.where("m > 1").limit(1).count() > 0
     if large:
         texts = stage(texts, "texts")
@@ -312,4 +339,4 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that are kept: the one of smallest doc_id of each component."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    return docs.hint("merge").join(kept, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
