@@ -615,7 +615,7 @@ def wrap_raw(text: str) -> str:
 
 def flatten_groups(root: Element) -> None:
     """Put the children of groups in their place; they inherit what they lack, and transforms are composed."""
-    for p in list(root.iter()):
+    for p in [e for e in root.iter() if e is root or e.tag != "g"]:  # groups are taken apart from what holds them
         i = 0
         while i < len(p):
             g = p[i]

@@ -1,6 +1,6 @@
 """All queries of the library outside the llm subpackage."""
 
-from . import numeric, relational, text
+from . import markup, numeric, relational, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "numeric", "relational", "text"]
+__all__ = ["ORACLES", "QUERIES", "markup", "numeric", "relational", "text"]
