@@ -166,7 +166,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model, fitted on `labels`, does not reject."""
-    return score(docs, fit(docs, labels), tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    """The documents that the model, fitted on `labels`, does not reject, whatever their columns are called."""
+    model, at = fit(docs, labels), docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.above(*utf8(batch.column(at)))[:, 0] < REJECT))
 
+    return docs.mapInArrow(run, docs.schema)
