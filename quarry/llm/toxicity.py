@@ -93,8 +93,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3,
 def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents: half toxic ones, as far as there are so many.
 
-    The labels only say toxic or not. A toxic text's grade (1 up to `grades` - 1) is set from the share of its words
-    that are toxic vocabulary of the sample, cut at quantiles among toxic texts. The sampled words' hashes, not texts,
+    The labels only say toxic or not. A toxic text's grade (1 up to `grades` - 1) is set from the number of different
+    words of the sample's toxic vocabulary in it, cut at quantiles among toxic texts: like the score, it grows with each. The sampled words' hashes, not texts,
     come to the driver; words below LEAST documents are dropped there by counts over the whole sample.
     """
     labels = columns(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic is not null")
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
     rate = np.zeros(len(got))
     for i, r in enumerate(got):
         x[i, np.searchsorted(hashes, np.array(r.h, np.int64))] = 1.0
-        rate[i] = sum(lift[w] > 1 for w in r.h) / max(1, r.n)
+        rate[i] = sum(lift[w] > 1 for w in r.h)
     y = np.array([r.toxic for r in got], np.int64)
     if not len(hashes):
         return Model(hashes, np.zeros(0), np.full(grades - 1, 30.0) + np.arange(grades - 1))
