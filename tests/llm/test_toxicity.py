@@ -25,7 +25,7 @@ def test_held_out_labels(spark):
     assert (np.diff(model.cuts) > 0).all()
     got = toxicity.score(docs, model).join(labels.where(fold == 1), "doc_id").toPandas()
     assert (got.severity.between(0, toxicity.GRADES - 1)).all()
-    assert got.rejected[got.toxic == 1].mean() >= 0.75  # some toxic labels are on texts without any toxic word
+    assert got.rejected[got.toxic == 1].mean() >= 0.75  # those with one or two of its words are often missed
     assert got.rejected[got.toxic == 0].mean() <= 0.02
 
 
