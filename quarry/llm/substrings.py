@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, lower_ascii, mix64, powers, span_hashes, utf8, words
+from .base import columns, lower_ascii, mix64, powers, span_hashes, stage, utf8, words
 
 #: A run is the fewest sentences from a given one on that are at least so many and have at least so many words.
 SENTENCES, WORDS = 2, 20
@@ -88,14 +88,16 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame) -> DataFrame:
     """d (doc_id), pos, h: every run whose words also appear as a run before it, by doc_id (null first) and place.
 
-    The first place of each hash is a min by key, combined before the shuffle; runs meet it in a join that adaptive
-    execution splits where a passage is in very many documents. Texts are not shuffled.
+    The first place of each hash is a min by key, combined before the shuffle. Only hashes that occur again are kept, in
+    a written table: adaptive execution splits a join's large partition, where a passage is in very many documents, only
+    if both sides come straight from a shuffle. Texts are not shuffled.
     """
     kept = columns(docs, ["doc_id", "text"]).select(F.col("doc_id").alias("d"), "text")
     id_type = kept.schema["d"].dataType.simpleString()
     every = kept.mapInArrow(_explode, f"h bigint, d {id_type}, pos int")
     first = every.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = every.hint("merge").join(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "h")
+    first = stage(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "substrings")
+    found = every.hint("merge").join(first.hint("merge"), "h")
     return found.where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("pos") == F.col("p0")))).select("d", "pos", "h")
 
 
