@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import bpe, minhash, mixture, queries, substrings, toxicity
 from quarry.llm.base import stage, table
 
+#: Texts that share so many hundredths of their word shingles are near duplicates here; op8_minhash has a percent of its own.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -18,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of smallest id."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near duplicates (NEAR_PERCENT): that of smallest id."""
+    return minhash.deduplicated(docs, NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

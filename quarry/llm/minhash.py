@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,28 +16,56 @@ from pyspark.sql import functions as F
 from .base import checkpoint, columns, connected_components, groups, lower_ascii, mix64, span_hashes, stage, utf8, words
 
 WIDTH = 5
-#: A pair is linked if 100 * intersection >= PERCENT * union.
+#: A pair is linked if 100 * intersection >= percent * union; the percent of op8_minhash.
 PERCENT = 85
-#: A linked pair (85 %) shares none of 28 bands of 6 minima with probability 2e-6.
-BANDS, ROWS = 28, 6
+#: A pair of just that similarity shares no band with at most this probability; samples there are at most.
+MISS, SAMPLES = 2e-6, 192
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and minima in each: the most minima in a band that SAMPLES allow. 28 of 6 at 85 %, 34 of 5 at 80 %."""
+    for rows in range(16, 0, -1):
+        same = (percent / 100) ** rows
+        count = 1 if same == 1 else int(np.ceil(np.log(MISS) / np.log1p(-same)))
+        if count * rows <= SAMPLES:
+            return count, rows
+    raise ValueError(f"{percent} % needs more than {SAMPLES} samples")
+
+
+BANDS, ROWS = layout(PERCENT)
 K = BANDS * ROWS
 BITS = 512
-#: Estimated similarity from which two members of a band are candidates, and from which a member needs no canopy of its
-#: own. Distances obey the triangle inequality, so 0.82 - 0.15 > 0.45 leaves a wide margin for the sketch's error.
-NEAR, OWN = 0.45, 0.82
+#: Estimated similarity from which a member of a band needs no canopy of its own.
+OWN = 0.82
+
+
+def nearness(percent: int) -> float:
+    """Estimated similarity from which two members of a band are candidates.
+
+    Distances obey the triangle inequality, so what links to a member within OWN of a leader is within OWN less the
+    distance of a link; 0.22 below that (0.45 at 85 %, 0.40 at 80 %) leaves a wide margin for the sketch's error.
+    """
+    return round(OWN - (1 - percent / 100) - 0.22, 9)
+
+
+NEAR = nearness(PERCENT)
 #: Shingles of a candidate group that one task confirms together.
 TOGETHER = 2_000_000
 HUBS = 16
 _CHUNK = 1 << 20
 _U = np.uint64
-_C = mix64(np.arange(1000, 1000 + max(WIDTH, ROWS), dtype=_U)) | _U(1)
+_C = mix64(np.arange(1000, 1016, dtype=_U)) | _U(1)
 _FEW = mix64(np.arange(2000, 2000 + WIDTH + 1, dtype=_U))
 _PROBES = 64
-_probe = (mix64(np.arange(K * _PROBES, dtype=_U)) % _U(K)).astype(np.int64).reshape(_PROBES, K)
-_bin_salt = mix64(np.arange(5000, 5000 + K, dtype=_U))
+_bin_salt = mix64(np.arange(5000, 5000 + SAMPLES, dtype=_U))
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
+@functools.cache
+def _probe(k: int) -> np.ndarray:
+    return (mix64(np.arange(k * _PROBES, dtype=_U)) % _U(k)).astype(np.int64).reshape(_PROBES, k)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all rows, and the n + 1 offsets of the rows in them.
 
@@ -70,8 +99,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), at
 
 
-def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """K MinHash samples of each (non-empty) row by one permutation: the least hash in each of K ranges.
+def minima(sets: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
+    """k MinHash samples of each (non-empty) row by one permutation: the least hash in each of k ranges.
 
     An empty range copies the first non-empty one on its own fixed sequence of ranges; where a small set has none of
     those, the sample is the set's member of least hash with the range's number. Equal sets get equal samples and each
@@ -79,19 +108,19 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """
     n = len(at) - 1
     row = np.repeat(np.arange(n), np.diff(at))
-    key = row * K + (((sets >> _U(32)) * _U(K)) >> _U(32)).astype(np.int64)
-    out = np.full(n * K, _NONE, _U)
+    key = row * k + (((sets >> _U(32)) * _U(k)) >> _U(32)).astype(np.int64)
+    out = np.full(n * k, _NONE, _U)
     if len(key):
         first = np.r_[True, key[1:] != key[:-1]]
         out[key[first]] = sets[first]
-    out = out.reshape(n, K)
+    out = out.reshape(n, k)
     whole = out.copy()
     open_ = np.flatnonzero((out == _NONE).any(1))
     for t in range(_PROBES):
         if not len(open_):
             break
         part = out[open_]
-        part = np.where(part == _NONE, whole[open_][:, _probe[t]], part)
+        part = np.where(part == _NONE, whole[open_][:, _probe(k)[t]], part)
         out[open_] = part
         open_ = open_[(part == _NONE).any(1)]
     for i in open_:
@@ -102,30 +131,31 @@ def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(samples: np.ndarray) -> np.ndarray:
-    """A hash of each band of ROWS samples, different for each band's number."""
-    x = samples.reshape(len(samples), BANDS, ROWS)
-    return mix64((x * _C[:ROWS]).sum(2, dtype=_U) + _bin_salt[:BANDS])
+def bands(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A hash of each band of so many samples, different for each band's number."""
+    x = samples.reshape(len(samples), samples.shape[1] // rows, rows)
+    return mix64((x * _C[:rows]).sum(2, dtype=_U) + _bin_salt[: x.shape[1]])
 
 
 def sketches(samples: np.ndarray) -> np.ndarray:
     """Odd sketches: bit b is the parity of the number of samples that hash to b. One row of BITS / 64 words each."""
     n = len(samples)
-    bit = (mix64(samples + _bin_salt[None, :]) % _U(BITS)).astype(np.int64)
+    bit = (mix64(samples + _bin_salt[None, : samples.shape[1]]) % _U(BITS)).astype(np.int64)
     odd = np.bincount((bit + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS) & 1
     return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(_U)
 
 
-def most_ones(similarity: float) -> float:
-    """Ones expected in the XOR of two odd sketches of sets that similar: samples that differ are 2 K (1 - J)."""
-    return BITS / 2 * (1 - np.exp(-4 * K * (1 - similarity) / BITS))
+def most_ones(similarity: float, k: int = K) -> float:
+    """Ones expected in the XOR of two odd sketches of sets that similar: samples that differ are 2 k (1 - J)."""
+    return BITS / 2 * (1 - np.exp(-4 * k * (1 - similarity) / BITS))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (hash of the set), bands, sketch; the last four null for sets without members."""
     kept = columns(docs, ["doc_id", "text"])
     id_type = kept.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"]
+    n_bands, rows = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +167,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets, where = shingles(data[at[0] : at[-1]], at - at[0])
                 size = np.diff(where)
                 full = size > 0
-                samples = minima(sets, where)[full]
+                samples = minima(sets, where, n_bands * rows)[full]
                 ids = [xxhash.xxh3_128_intdigest(sets[a:b].tobytes()) for a, b in zip(where[:-1], where[1:], strict=True)]
                 h = np.array([[x >> 64, x & 0xFFFFFFFFFFFFFFFF] for x in ids], _U).reshape(-1, 2).view(np.int64)
                 none = pa.array(~full)
-                ends = np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)
+                ends = np.r_[0, np.cumsum(full * n_bands)].astype(np.int32)
                 bits = np.r_[0, np.cumsum(full * (BITS // 8))].astype(np.int32)
-                list_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(samples).view(np.int64).ravel()))
+                list_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(samples, rows).view(np.int64).ravel()))
                 blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bits), pa.py_buffer(sketches(samples).tobytes())])
                 null = lambda a, none=none: pa.compute.if_else(none, None, a)
                 cols = [batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), null(pa.array(h[:, 0])), null(pa.array(h[:, 1])), list_, blob]
@@ -153,16 +183,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
-def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canopies(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Candidate links (node, leader) from rows sorted by band: one pass, only a band's leaders are held.
 
-    Each member is compared with the leaders of its band by sketch. It is in the canopies of all within NEAR; unless one
+    Each member is compared with the leaders of its band by sketch. It is in the canopies of all that are near; unless one
     is within OWN, it becomes a leader itself. A linked pair is never parted: if one of them is within OWN of a leader,
-    the other is within NEAR of it. Canopies that share a member are one group, so a member links to the first leader
+    the other is near it. Canopies that share a member are one group, so a member links to the first leader
     of its own only, and a leader to one that its canopy meets if these are not connected yet: a band has fewer links
     than members and leaders together.
     """
-    near, own = most_ones(NEAR), most_ones(OWN)
+    samples = int(np.prod(layout(percent)))
+    near, own = most_ones(nearness(percent), samples), most_ones(OWN, samples)
     key: int | None = None
     heads: list[tuple[int, np.ndarray]] = []
     up: list[int] = []
@@ -224,22 +255,22 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node", "leader"])
 
 
-def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def exact_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect just what all links among the sets connect, each found on full sets.
 
     One member after the other, those with the most common shingles first, is compared with all others at once. A
-    member is skipped if some earlier comparison shows that whatever it could link to (within 0.15 of its distance) is
+    member is skipped if some earlier comparison shows that whatever it could link to (within a link's distance of its own) is
     in its component already; nothing is left to compare when all are in one.
     """
     n, size = len(sets), np.array([len(s) for s in sets])
     values, at = np.concatenate(sets), np.r_[0, np.cumsum(size)]
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= PERCENT * (size.sum() - both) else []
+        return [(0, 1)] if 100 * both >= percent * (size.sum() - both) else []
     _, inv, freq = np.unique(values, return_inverse=True, return_counts=True)
     common = np.add.reduceat(freq[inv], at[:-1]) / size
     comp, out, seen = np.arange(n), [], []
-    slack = 1 - PERCENT / 100 + 1e-9
+    slack = 1 - percent / 100 + 1e-9
     mark = np.zeros(len(freq), np.int32)
     for p in np.argsort(-common, kind="stable"):
         if (comp == comp[p]).all():
@@ -251,7 +282,7 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         both = np.add.reduceat(mark[inv], at[:-1])
         mark[own] = 0
         union = size + size[p] - both
-        for j in np.flatnonzero(100 * both >= PERCENT * union):
+        for j in np.flatnonzero(100 * both >= percent * union):
             if comp[j] != comp[p]:
                 out.append((int(p), int(j)))
                 comp[comp == comp[j]] = comp[p]
@@ -259,7 +290,7 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _confirm(found: pa.Table) -> pa.Table:
+def _confirm(found: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Confirmed links among the rows (h1, h2, text) of one candidate group."""
     data, offsets = utf8(found["text"])
     sets, ids, known = [], [], set()
@@ -273,14 +304,16 @@ def _confirm(found: pa.Table) -> pa.Table:
             known.add(x)
             sets.append(own)
             ids.append(h1[i])
-    pairs = exact_links(sets) if len(sets) > 1 else []
+    pairs = exact_links(sets, percent) if len(sets) > 1 else []
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
+def near_duplicates(docs: DataFrame, together: int = TOGETHER, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id).
 
-    1. Every text's shingle set gives K MinHash samples, BANDS bands and an odd sketch (one pass). Equal sets are one
+    Texts are linked from a similarity of `percent` on, which sets bands and canopies too (see layout and nearness).
+
+    1. Every text's shingle set gives MinHash samples, bands of them and an odd sketch (one pass). Equal sets are one
        class from here on, so exact copies, however many, are one row.
     2. Classes are dealt by band. Within a band a single pass over sorted rows compares each with the band's leaders by
        sketch (see _canopies), so a band of any size costs rows times leaders and never all pairs.
@@ -293,12 +326,12 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     document for links; a null id takes the smallest id of its component, and is kept only if all of it has none.
     Repeated rows get equal results; an empty table gives an empty result; other columns are not read.
     """
-    sig = stage(signatures(docs), "minhash")
+    sig = stage(signatures(docs, percent), "minhash")
     full = sig.where("n_shingles > 0")
     classes = full.groupBy("h1", "h2").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     members = classes.select("h1", "sketch", F.explode("bands").alias("band"))
     members = members.repartition(F.col("band")).sortWithinPartitions("band", "h1")
-    candidates = stage(members.select("band", "h1", "sketch").mapInArrow(_canopies, "node bigint, leader bigint").distinct(), "candidates")
+    candidates = stage(members.select("band", "h1", "sketch").mapInArrow(lambda batches: _canopies(batches, percent), "node bigint, leader bigint").distinct(), "candidates")
     parts = connected_components(candidates).select(F.col("node").alias("h1"), F.col("component").alias("g"))
 
     ids = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("n_shingles").alias("n"))
@@ -311,7 +344,11 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     large = inside.where("m > 1").limit(1).count() > 0
     if large:
         texts = stage(texts, "texts")
-    confirm = lambda rows, *by: rows.groupBy(*by).applyInArrow(_confirm, "a bigint, b bigint")
+
+    def confirmed(found: pa.Table) -> pa.Table:
+        return _confirm(found, percent)
+
+    confirm = lambda rows, *by: rows.groupBy(*by).applyInArrow(confirmed, "a bigint, b bigint")
     links = confirm(texts.where("m = 1") if large else texts, "g")
     if large:
         hubs = candidates.groupBy("leader").agg(F.count("*").alias("deg")).join(inside.where("m > 1"), F.col("leader") == F.col("h1"))
@@ -336,7 +373,7 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept: the one of smallest doc_id of each component."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("d")).distinct()
+    kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("d")).distinct()
     return docs.hint("merge").join(kept, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")

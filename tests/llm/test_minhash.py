@@ -104,3 +104,47 @@ def test_sketches_estimate_and_bands_agree():
         assert np.bitwise_count(s[0] ^ s[1]).sum() < minhash.most_ones(minhash.NEAR)
         hit += (minhash.bands(m)[0] == minhash.bands(m)[1]).any()
     assert hit == 200
+
+
+def by_brute_force(rows, percent):
+    """The smallest id of each document's component."""
+    sets = [(d, shingle_set(t)) for d, t in rows]
+    of = {d: d for d, _ in sets}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a and b and of[d] != of[e] and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((of[d], of[e]))
+                of = {x: low if y == high else y for x, y in of.items()}
+    return of
+
+
+def edited(seed, n=60):
+    """Texts of 204 words with copies whose similarity is mostly between 0.75 and 0.9: each edit changes five shingles."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        w = [f"w{r.randrange(5000)}" for _ in range(204)]
+        rows.append(w)
+        for edits in r.sample([2, 3, 4, 5, 6], 2):
+            v = list(w)
+            for x in r.sample(range(4, 200, 6), edits):
+                v[x] = f"e{r.randrange(10**9)}"
+            rows.append(v)
+    r.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("together", [minhash.TOGETHER, 700])
+def test_components_at_another_percent(spark, together):
+    rows = edited(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_brute_force(rows, 80)
+    assert want != by_brute_force(rows, 85)
+    assert {g.doc_id: g.component_id for g in minhash.near_duplicates(docs, together, 80).collect()} == want
+
+
+def test_layout_follows_the_percent():
+    assert minhash.layout(85) == (28, 6) and minhash.layout(80) == (34, 5)
+    for percent in range(40, 101):
+        bands, rows = minhash.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS and bands * rows <= minhash.SAMPLES

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from quarry.llm.base import stage, table
+from tests.llm.test_minhash import by_brute_force, edited
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,3 +30,12 @@ def test_an_empty_table(spark):
     for name, apply in corpus_pipeline.STAGES:
         docs = stage(apply(spark, docs, DATA), f"test-{name}")
         assert docs.count() == 0
+
+
+def test_the_near_duplicate_stage_links_from_80_percent_on(spark):
+    rows = edited(6)
+    docs = spark.createDataFrame([(d, t, "a") for d, t in rows], "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["minhash"](spark, docs, DATA)
+    want = by_brute_force(rows, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({x for x in want.values()})
+    assert len(set(want.values())) < len(set(by_brute_force(rows, 85).values()))
