@@ -11,7 +11,7 @@ from .base import table
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"), both_ends=True)
     return found.select("doc_id", "n_sentences", "n_removed", "n_spans", "text")
 
 

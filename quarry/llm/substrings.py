@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .base import columns, lower_ascii, mix64, powers, span_hashes, stage, utf8, words
 
-#: A run is the fewest sentences from a given one on that are at least so many and have at least so many words.
+#: A run is the fewest sentences from a given one on that are at least so many and have at least so many words. Where
+#: both ends are asked for, so is a run the fewest up to a given sentence, and one sentence of at least so many words.
 SENTENCES, WORDS = 2, 20
 _CHUNK = 1 << 20
 _U = np.uint64
@@ -45,8 +46,13 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, row, np.r_[0, last[:-1] + 1]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, size: int = WORDS):
-    """Row, number of its first sentence in the row, sentences and hash of each run, then what `sentences` returns."""
+def runs(data: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, size: int = WORDS, both_ends: bool = False):
+    """Row, number of its first sentence in the row, sentences and hash of each run, then what `sentences` returns.
+
+    The shortest runs from each sentence on leave the end of a repeated passage uncovered where what is behind the last
+    of them has under `size` words. With `both_ends` the shortest runs up to each sentence and single sentences of
+    `size` words are runs too; then any whole sentences that repeat together and have `size` words are covered.
+    """
     starts, ends, row, first = sentences(data, offsets)
     none = np.zeros(0, np.int64)
     if not len(first):
@@ -59,6 +65,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, size: in
     ok = last < n
     ok[ok] = of[last[ok]] == of[ok]
     i, j = np.flatnonzero(ok), last[ok]
+    if both_ends:
+        head = np.minimum(np.arange(n) - least + 1, np.searchsorted(first, upto - size, "right") - 1)
+        back = head >= 0
+        back[back] = of[head[back]] == of[back]
+        alone = np.flatnonzero(upto - first >= size)
+        key = np.unique(np.r_[i * n + j, head[back] * n + np.flatnonzero(back), alone * (n + 1)])
+        i, j = key // n, key % n
     h = span_hashes(lower_ascii(data), starts, ends)
     up, down = powers(len(h) + 1)
     total = np.r_[_U(0), np.cumsum(h * up[:-1])]
@@ -75,17 +88,17 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _explode(batches: Iterator[pa.RecordBatch], both_ends: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for i, j in _parts(offsets):
             at = offsets[i : j + 1]
-            row, pos, _, h, *_ = runs(data[at[0] : at[-1]], at - at[0])
+            row, pos, _, h, *_ = runs(data[at[0] : at[-1]], at - at[0], both_ends=both_ends)
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("d").take(pa.array(row + i)), pa.array(pos.astype(np.int32))], ["h", "d", "pos"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
     """d (doc_id), pos, h: every run whose words also appear as a run before it, by doc_id (null first) and place.
 
     The first place of each hash is a min by key, combined before the shuffle. Only hashes that occur again are kept, in
@@ -94,18 +107,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     kept = columns(docs, ["doc_id", "text"]).select(F.col("doc_id").alias("d"), "text")
     id_type = kept.schema["d"].dataType.simpleString()
-    every = kept.mapInArrow(_explode, f"h bigint, d {id_type}, pos int")
+    every = kept.mapInArrow(lambda batches: _explode(batches, both_ends), f"h bigint, d {id_type}, pos int")
     first = every.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stage(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "substrings")
     found = every.hint("merge").join(first.hint("merge"), "h")
     return found.where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("pos") == F.col("p0")))).select("d", "pos", "h")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
     """All columns of `docs`, with text cut, and n_sentences, n_removed, n_spans (maximal removed stretches).
 
     Every sentence that a repeated run covers, other than the run's first place in the table, is removed with the white
-    space after it. Each document's repeated runs, at most one a sentence, are gathered by doc_id and meet the texts in
+    space after it; op1_substrings and the pipeline ask for runs from `both_ends` (see runs). Each document's repeated
+    runs, at most one a sentence (three with `both_ends`), are gathered by doc_id and meet the texts in
     one join, a merge at any size; they are looked up by place and hash in the text, so documents that share a doc_id can't be cut for one
     another. Rows that repeat a doc_id and text are one place and are cut alike. Null and empty texts stay as they are; a
     text all of whose sentences are removed becomes empty (or the white space it begins with); runs never cross
@@ -113,7 +127,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     added = ["n_sentences", "n_removed", "n_spans"]
     names = [c for c in docs.columns if c not in added]
-    cuts = repeated(docs).groupBy("d").agg(F.collect_list("pos").alias("__pos"), F.collect_list("h").alias("__h"))
+    cuts = repeated(docs, both_ends).groupBy("d").agg(F.collect_list("pos").alias("__pos"), F.collect_list("h").alias("__h"))
     joined = columns(docs, names).hint("merge").join(cuts, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", n_sentences bigint, n_removed bigint, n_spans bigint"
@@ -128,7 +142,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for i, j in _parts(offsets):
                 at = offsets[i : j + 1] - offsets[i]
                 part = data[offsets[i] : offsets[j]]
-                row, pos, count, h, starts, word_row, first = runs(part, at)
+                row, pos, count, h, starts, word_row, first = runs(part, at, both_ends=both_ends)
                 of = word_row[first] if len(first) else np.zeros(0, np.int64)
                 s0 = np.searchsorted(of, np.arange(j - i + 1))
                 r0 = np.searchsorted(row, np.arange(j - i + 1))
@@ -159,7 +173,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """The columns of `docs`: texts without repeats and n_chars to match; documents that lost all their text go."""
-    found = deduplicated(docs).where("not (n_removed > 0 and n_removed = n_sentences)")
+    found = deduplicated(docs, both_ends=True).where("not (n_removed > 0 and n_removed = n_sentences)")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

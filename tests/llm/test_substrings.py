@@ -83,3 +83,57 @@ def test_cut_keeps_columns(spark):
     got = sorted(map(tuple, substrings.cut(docs).collect()))
     assert got == [(1, text + "Own end.", 5), (2, "Before. ", 8)]
     assert substrings.deduplicated(docs.limit(0)).count() == 0
+
+
+def every_run(rows):
+    """As plain, but over all runs of any number of sentences with enough words, not the shortest only."""
+    spans, out = {}, []
+    for d, t in rows:
+        s = plain_sentences(t)
+        for i in range(len(s)):
+            own = []
+            for j in range(i, len(s)):
+                own = own + s[j][0]
+                if len(own) >= substrings.WORDS:
+                    spans.setdefault(tuple(own), []).append((d, i, j + 1))
+    gone = {}
+    for places in spans.values():
+        first = min((d, i) for d, i, _ in places)
+        for d, i, j in places:
+            if (d, i) != first:
+                gone.setdefault(d, set()).update(range(i, j))
+    for d, t in rows:
+        s, g = plain_sentences(t), gone.get(d, set())
+        if g:
+            t = t[: s[0][1]] + "".join(t[a:b] for k, (_, a, b) in enumerate(s) if k not in g)
+        out.append((d, t, len(g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 3, 5])
+def test_both_ends_cover_whatever_longer_runs_cover(spark, seed):
+    # Other marks than line breaks, so that equal words are parted alike.
+    rows = [(d, " ".join(t.split())) for d, t in corpus(seed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((g.doc_id, g.text, g.n_removed) for g in substrings.deduplicated(docs, both_ends=True).collect())
+    want = every_run(rows)
+    assert got == want
+    assert 0 < sum(r[3] for r in plain(rows)) < sum(r[2] for r in want)
+
+
+def test_planted_passages_go_as_a_whole(spark, tmp_path):
+    from quarry.llm.queries import op1_substrings
+
+    r = random.Random(4)
+    words = lambda n: " ".join(f"v{r.randrange(10**9)}" for _ in range(n))
+    # Its end has under 20 words behind the last run that fits; one long sentence; many short sentences.
+    passages = [f"{words(30)}. {words(15)}. {words(3)}. {words(4)}.", f"{words(55)}.", " ".join(f"{words(4)}." for _ in range(14))]
+    rows = [(i, f"{words(25)}. {passages[i % 3]} {words(25)}.") for i in range(12)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {g.doc_id: g.text for g in op1_substrings(spark, path).collect()}
+    for d, t in rows:
+        p = passages[d % 3]
+        assert got[d] == (t if d < 3 else t.replace(f"{p} ", ""))
+    cut = {g.doc_id: g.text for g in substrings.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cut == got
