@@ -12,15 +12,16 @@ from .base import columns, connected_components, stage
 
 COSINE = 0.9
 #: Vectors of a block, about; a block has a tree of its own.
-BLOCK = 4096
-#: Cells that blocks are cut from, at most; their pivots are the only vectors that come to the driver.
-PIVOTS = 256
+BLOCK = 8192
+#: Cells that blocks are cut from, at most; their pivots and radii are all that comes to the driver.
+PIVOTS = 1024
 #: Covering radii of the levels, halved from one to the next; distances are chords between unit vectors (0 to 2).
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Bounds are loosened by this, so rounding prunes no pair; pairs themselves are compared by cosine.
 SLACK = 1e-9
 #: Node pairs of at most so many vector pairs are compared outright.
 DIRECT = 1 << 14
+_ROWS = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -33,41 +34,58 @@ def chord(dot: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
 
 
+def margin(dim: int) -> float:
+    """More than a product of two unit vectors in single precision can be off; closer calls are made in double."""
+    return max(2e-5, 2.0**-22 * dim)
+
+
+def _net(u: np.ndarray, rows: np.ndarray, radius: float) -> list[np.ndarray]:
+    """The rows of each node of a greedy net, its centre first: every row joins the first centre within the radius.
+
+    Candidates for centres are taken some at a time, so their distances are one product of matrices.
+    """
+    near, out = np.float32(1.0 - (radius * radius) / 2.0 + margin(u.shape[1])), []
+    while len(rows):
+        head = min(256, len(rows))
+        close = u[rows[:head]] @ u[rows].T >= near
+        close[np.arange(head), np.arange(head)] = True
+        centres, covered = [], np.zeros(head, bool)
+        for i in range(head):
+            if not covered[i]:
+                centres.append(i)
+                covered |= close[i, :head]
+        own = close[centres]
+        # A centre that an earlier one covers would not be one.
+        own[:, centres] = np.eye(len(centres), dtype=bool)
+        which, taken = own.argmax(0), own.any(0)
+        at = np.flatnonzero(taken)
+        at = at[np.lexsort((at != np.array(centres)[which[at]], which[at]))]
+        out += np.split(rows[at], np.flatnonzero(np.diff(which[at])) + 1)
+        rows = rows[~taken]
+    return out
+
+
 def build(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows and, for each level, the node of each ordered row: nested nets of halving radii.
 
     A node's rows are neighbours in the order, its centre first; all lie within the level's radius of the centre. The
     centre of a node is also that of its first child.
     """
+    u = u.astype(np.float32)
     n = len(u)
-    order, nodes = np.arange(n), np.zeros((len(RADII), n), np.int32)
-    spans = [(0, n)] if n else []
+    nodes, found = np.zeros((len(RADII), n), np.int32), [np.arange(n)] if n else []
     for level, radius in enumerate(RADII):
-        found, new = [], np.empty(n, np.int64)
-        near = 1.0 - (radius * radius) / 2.0
-        for a, b in spans:
-            rest, at = order[a:b], a
-            while len(rest):
-                if len(rest) == 1:
-                    inside = np.ones(1, bool)
-                else:
-                    inside = u[rest] @ u[rest[0]] >= near
-                    inside[0] = True
-                own = rest[inside]
-                new[at : at + len(own)] = own
-                nodes[level, at : at + len(own)] = len(found)
-                found.append((at, at + len(own)))
-                at += len(own)
-                rest = rest[~inside]
-        order, spans = new, found
-    return order, nodes
+        found = [part for own in found for part in (_net(u, own, radius) if len(own) > 1 else [own])]
+        nodes[level] = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    return (np.concatenate(found) if found else np.arange(0)), nodes
 
 
 class Tree:
-    """Levels of nodes over ordered unit vectors: first and last row, children, covering radius, mass."""
+    """Levels of nodes over ordered unit vectors: first and last row, covering radius, mass, children."""
 
     def __init__(self, u: np.ndarray, nodes: np.ndarray, mass: np.ndarray):
         self.u, self.mass = u, mass
+        self.small = u.astype(np.float32)
         self.levels = []
         total = np.r_[0, np.cumsum(mass)]
         for k, ids in enumerate(nodes):
@@ -76,7 +94,21 @@ class Tree:
             centre = np.repeat(first, last - first)
             far = np.maximum.reduceat(chord(np.einsum("ij,ij->i", u, u[centre])), first)
             child = np.searchsorted(np.flatnonzero(np.r_[True, nodes[k + 1][1:] != nodes[k + 1][:-1]]), np.r_[first, len(ids)]) if k + 1 < len(nodes) else None
-            self.levels.append((first, last, far + SLACK, total[last] - total[first], child))
+            self.levels.append((first, last, np.where(last - first == 1, 0.0, far + SLACK), total[last] - total[first], child))
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's component over the links a-b."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = label[a[apart]], label[b[apart]]
+    return label
 
 
 class Pairs:
@@ -85,30 +117,24 @@ class Pairs:
     def __init__(self, a: Tree, b: Tree, same: bool, cosine: float = COSINE):
         self.a, self.b, self.same, self.cosine = a, b, same, cosine
         self.reach = float(np.sqrt(2.0 - 2.0 * cosine)) + SLACK
+        self.close = margin(a.u.shape[1])
         n, m = len(a.u), len(b.u)
         self.links = [np.zeros(n, np.int64), np.zeros(0 if same else m, np.int64)]
-        self.label = np.arange(n if same else n + m)
-        self.compared = 0
+        self.compared = self.descended = 0
+        self._edges: list[tuple[np.ndarray, np.ndarray]] = []
         self._walk()
+        x, y = (np.concatenate(e) if self._edges else np.zeros(0, np.int64) for e in (list(zip(*self._edges, strict=True)) or [(), ()]))
+        self.label = _labels(n if same else n + m, x, y if same else y + n)
 
     def _walk(self) -> None:
         a, b = self.a.levels, self.b.levels
-        for level in range(len(RADII)):
+        # Coarse levels that have about as many nodes as a finer one bound nothing that it does not bound better.
+        top = max(k for k in range(len(RADII)) if all(len(t[k][0]) <= 2 * len(t[0][0]) for t in (a, b)))
+        i, j, d = self._top(top)
+        for level in range(top, len(RADII)):
             (fa, la, ra, ma, ca), (fb, lb, rb, mb, cb) = a[level], b[level]
-            if level == 0:
-                found = []
-                for i in range(0, len(fa), 512):
-                    d = chord(self.a.u[fa[i : i + 512]] @ self.b.u[fb].T)
-                    x, y = np.nonzero(d <= ra[i : i + 512, None] + rb[None, :] + self.reach)
-                    self.compared += d.size
-                    found.append((x + i, y, d[x, y]))
-                i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-                if self.same:
-                    keep = i <= j
-                    i, j, d = i[keep], j[keep], d[keep]
-            else:
-                dots = np.einsum("ij,ij->i", self.a.u[fa[i]], self.b.u[fb[j]])
-                d = chord(dots)
+            if level > top:
+                d = chord(np.einsum("ij,ij->i", self.a.u[fa[i]], self.b.u[fb[j]]))
                 self.compared += len(d)
                 keep = d <= ra[i] + rb[j] + self.reach
                 i, j, d = i[keep], j[keep], d[keep]
@@ -121,7 +147,8 @@ class Pairs:
             for p, q in zip(i[whole], j[whole], strict=True):
                 self.links[0][fa[p] : la[p]] += mb[q]
                 self.links[0 if self.same else 1][fb[q] : lb[q]] += ma[p]
-                self._unite(np.arange(fa[p], la[p]), np.arange(fb[q], lb[q]))
+                x, y = np.arange(fa[p], la[p]), np.arange(fb[q], lb[q])
+                self._edges += [(x, np.full(len(x), y[0])), (np.full(len(y), x[0]), y)]
             i, j = i[~whole], j[~whole]
             small = (la[i] - fa[i]) * (lb[j] - fb[j]) <= DIRECT
             if level + 1 == len(RADII):
@@ -131,6 +158,7 @@ class Pairs:
             i, j = i[~small], j[~small]
             if not len(i):
                 return
+            self.descended += len(i)
             na, nb = ca[i + 1] - ca[i], cb[j + 1] - cb[j]
             k = np.repeat(np.arange(len(i)), na * nb)
             within = np.arange(len(k)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
@@ -140,11 +168,54 @@ class Pairs:
                 keep = ~own | (i <= j)
                 i, j = i[keep], j[keep]
 
+    def _top(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of nodes of a level within reach, and their distances: a product of some centres with all.
+
+        Single precision only prunes here, by bounds that are loosened accordingly. Nodes of one vector have radius 0,
+        so one number bounds their pairs; what is left of them is settled at once.
+        """
+        (fa, _, ra, *_), (fb, _, rb, *_) = self.a.levels[level], self.b.levels[level]
+        one_b, found = rb == 0, []
+        for one in (True, False):
+            for lo in range(0, len(fa), _ROWS):
+                rows = np.flatnonzero((ra[lo : lo + _ROWS] == 0) == one) + lo
+                for cols in (np.flatnonzero(one_b), np.flatnonzero(~one_b)):
+                    if not len(rows) or not len(cols):
+                        continue
+                    dot = self.a.small[fa[rows]] @ self.b.small[fb[cols]].T
+                    self.compared += dot.size
+                    if one and one_b[cols[0]]:
+                        x, y = np.divmod(np.flatnonzero(dot >= np.float32(self.cosine - self.close)), len(cols))
+                    else:
+                        far = np.minimum(2.0, ra[rows][:, None] + rb[cols] + self.reach)
+                        x, y = np.divmod(np.flatnonzero(dot >= (1.0 - far * far / 2.0 - self.close).astype(np.float32)), len(cols))
+                    found.append((rows[x], cols[y]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if self.same:
+            keep = i <= j
+            i, j = i[keep], j[keep]
+        d = np.empty(len(i))
+        for lo in range(0, len(i), 1 << 16):
+            s = slice(lo, lo + (1 << 16))
+            d[s] = np.einsum("ij,ij->i", self.a.u[fa[i[s]]], self.b.u[fb[j[s]]])
+        single = (ra[i] == 0) & (rb[j] == 0)
+        linked = single & (d >= self.cosine)
+        if self.same:
+            linked &= i != j
+        x, y = fa[i[linked]], fb[j[linked]]
+        np.add.at(self.links[0], x, self.b.mass[y])
+        np.add.at(self.links[0 if self.same else 1], y, self.a.mass[x])
+        self._edges.append((x, y))
+        return i[~single], j[~single], chord(d[~single])
+
     def _compare(self, a0: int, a1: int, b0: int, b1: int) -> None:
         inner = self.same and a0 == b0
         for lo in range(a0, a1, 1024):
             hi = min(a1, lo + 1024)
-            hit = self.a.u[lo:hi] @ self.b.u[b0:b1].T >= self.cosine
+            dot = self.a.small[lo:hi] @ self.b.small[b0:b1].T
+            hit = dot >= self.cosine
+            x, y = np.nonzero(np.abs(dot - np.float32(self.cosine)) <= self.close)
+            hit[x, y] = np.einsum("ij,ij->i", self.a.u[x + lo], self.b.u[y + b0]) >= self.cosine
             self.compared += hit.size
             if inner:
                 hit[np.arange(lo - a0, hi - a0), np.arange(lo - a0, hi - a0)] = False
@@ -165,13 +236,8 @@ class Pairs:
                     cols |= more
                     new = hit[:, more].any(1) & ~rows
                 open_ &= ~rows
-                self._unite(np.flatnonzero(rows) + lo, np.flatnonzero(cols) + b0)
-
-    def _unite(self, x: np.ndarray, y: np.ndarray) -> None:
-        at = np.r_[x, y if self.same else y + len(self.a.u)]
-        old = np.unique(self.label[at])
-        if len(old) > 1:
-            self.label[np.isin(self.label, old)] = old[0]
+                x, y = np.flatnonzero(rows) + lo, np.flatnonzero(cols) + b0
+                self._edges += [(x, np.full(len(x), y[0])), (np.full(len(y), x[0]), y)]
 
 
 def _valid(c: str) -> str:
@@ -190,8 +256,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
        otherwise. Pairs of vectors are compared in double precision where no bound decides.
     4. A block pair returns sums and a spanning set of links: a row or two for each vector, never its pairs.
 
-    Vectors that structure does not separate (all cells within reach of all) make the pairs of blocks grow with the
-    square of the blocks; that is the cost of exact pairs. Vectors that are null, zero or hold null or non-finite
+    Bounds prune what structure separates: clusters that are apart by more than their radii and the threshold. Vectors
+    spread evenly in many dimensions have no such structure; every node then is one vector, and the pairs that are left
+    are compared as products of matrices in single precision, of which those too close to call are taken in double.
+    Vectors that are null, zero or hold null or non-finite
     components link with nothing; vectors of different lengths do not link. Repeated rows are separate vectors. A null
     vec_id is never the smallest; an empty table gives an empty result.
     """
@@ -217,8 +285,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
             for k in np.unique(size):
                 if k in by_dim:
                     own = np.flatnonzero(size == k)
-                    dots = unit(np.stack([flat[at[i] : at[i] + k] for i in own])) @ by_dim[k].T
-                    cell[own], far[own] = dots.argmax(1), chord(dots.max(1))
+                    x = unit(flat[at[own][:, None] + np.arange(k)])
+                    for lo in range(0, len(own), 4096):
+                        dots = x[lo : lo + 4096] @ by_dim[k].T
+                        cell[own[lo : lo + 4096]], far[own[lo : lo + 4096]] = dots.argmax(1), chord(dots.max(1))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("mass"), pa.array(size, pa.int32()), pa.array(cell), pa.array(far), pa.array([flat[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(batch.num_rows)], pa.binary())], ["node", "mass", "dim", "cell", "far", "x"])
 
     dealt = stage(classes.select("node", "mass", "embedding").mapInArrow(deal, "node bigint, mass bigint, dim int, cell int, far double, x binary"), "dealt")
@@ -237,18 +307,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     trees = tagged.groupBy("dim", "cell", "part").applyInArrow(tree, "dim int, cell int, part int, x binary, nodes binary, ids binary, mass binary")
     trees = stage(trees.withColumn("block", F.monotonically_increasing_id()), "trees")
 
-    # Pairs of cells within reach: a row for each of at most PIVOTS x PIVOTS pairs and number of dimensions.
+    # Pairs of cells within reach: found for each cell from the pivots and radii of at most PIVOTS cells.
     reach = float(np.sqrt(2.0 - 2.0 * cosine)) + SLACK
-    between = [(k, i, j, float(chord(p[i] @ p[j]))) for k, p in by_dim.items() for i in range(len(p)) for j in range(len(p))]
-    near = spark.createDataFrame(between, "dim int, cell int, other int, d double")
-    radius = cells.select("dim", "cell", "far")
-    near = near.join(radius, ["dim", "cell"]).join(radius.select("dim", F.col("cell").alias("other"), F.col("far").alias("far2")), ["dim", "other"])
-    near = near.where(F.col("d") <= F.col("far") + F.col("far2") + reach).select("dim", "cell", "other")
-    loose = cells.select("dim", "cell", F.col("cell").alias("other")).join(near.select("dim").distinct(), "dim", "left_anti")
-    near = near.unionByName(loose)
+    radii = {(r.dim, r.cell): r.far for r in cells.select("dim", "cell", "far").collect() if r.dim in by_dim}
+
+    def within(batches):
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for k, i in zip(batch.column("dim").to_pylist(), batch.column("cell").to_pylist(), strict=True):
+                if k not in by_dim:
+                    out.append((k, i, i))
+                    continue
+                far = np.array([radii.get((k, j), -np.inf) for j in range(len(by_dim[k]))])
+                d = chord(by_dim[k] @ by_dim[k][i])
+                out += [(k, i, int(j)) for j in np.flatnonzero(d <= far + far[i] + reach) if j >= i]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int32()) for c in range(3)], ["dim", "cell", "other"])
+
+    near = cells.select("dim", "cell").repartition("cell").mapInArrow(within, "dim int, cell int, other int")
     blocks = trees.select("dim", "cell", "block")
     pairs = blocks.join(near, ["dim", "cell"]).join(blocks.select("dim", F.col("cell").alias("other"), F.col("block").alias("b")), ["dim", "other"])
-    pairs = pairs.where("block <= b").select(F.col("block").alias("a"), "b")
+    pairs = pairs.where("cell <> other or block <= b").select(F.least("block", "b").alias("a"), F.greatest("block", "b").alias("b"))
     sides = pairs.select("a", "b", F.col("a").alias("block")).unionAll(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
     sent = sides.join(trees.drop("cell", "part"), "block")
 

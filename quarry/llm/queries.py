@@ -74,4 +74,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FINITE = "len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_covertree": f"""
+        with recursive v as (
+            select row_number() over () as r, vec_id, coalesce({_FINITE}, false) as valid, embedding::double[] as e from embeddings
+        ), links as (
+            select a.r as a, b.r as b from v a join v b on a.r <> b.r and len(a.e) = len(b.e) and a.valid and b.valid
+            where list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach(r, s) as (
+            select r, r from v union select reach.r, links.b from reach join links on reach.s = links.a
+        ), component as (
+            select reach.r, min(v.vec_id) as c from reach join v on v.r = reach.s group by reach.r
+        )
+        select vec_id, (select count(*) from links where links.a = v.r) as n_links, c as component_id,
+            vec_id is not distinct from c as kept
+        from v join component using (r)
+    """,
+}
