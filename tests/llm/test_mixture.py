@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,48 @@ def test_empty_without_words_and_repeated(spark, docs):
     assert [r.taken for r in mixture.mix(none).collect()] == [0, 0]
     same = spark.createDataFrame([(1, "a b", "x", 1)] * 10, "doc_id bigint, text string, source string, taken int")
     assert sum(r.taken for r in mixture.mix(same).collect()) == pytest.approx(30, abs=4)
+
+
+def plain_tilt(sizes, target):
+    """Bisection on least(2, exp(tilt * size / mean)) for the sum of rate * size."""
+    x, mean = sizes.astype(float), sizes.mean()
+    lo, hi = -1e4, 1e4
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        got = (x * np.minimum(2.0, np.exp(np.minimum(mid * x / mean, 50)))).sum()
+        lo, hi = (mid, hi) if got < target else (lo, mid)
+    return (lo + hi) / 2
+
+
+def test_rates_are_the_entropy_balance_and_words_hit_the_target(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for k, (source, n, scale) in enumerate((("a", 400, 30), ("b", 900, 60), ("c", 700, 8), (None, 300, 200), ("tiny", 40, 3))):
+        for size in np.minimum(9000, np.maximum(1, r.lognormal(np.log(scale), 1.2, n))).astype(int):
+            rows.append((len(rows), "w " * int(size), source))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = defaultdict(list)
+    for d in mixture.mix(table).collect():
+        got[rows[d.doc_id][2]].append(d)
+    tilted = 0
+    for source, own in got.items():
+        sizes = np.array([d.size for d in own])
+        target = own[0].target
+        if target >= 2 * sizes.sum() - 1e-6:
+            assert all(d.rate == 2 and d.copies == 2 for d in own)
+            continue
+        tilt = plain_tilt(sizes, target)
+        want = np.minimum(2.0, np.exp(tilt * sizes / sizes.mean()))
+        assert np.allclose([d.rate for d in own], want, rtol=1e-4)
+        tilted += len({round(d.rate, 6) for d in own}) > 5
+        assert abs(sum(d.taken for d in own) - target) <= np.quantile(sizes, 0.2) + 1, source
+    assert tilted >= 2
+
+
+def test_any_column_names_come_back(spark):
+    names = ["doc_id", "text", "source", "h", "copy", "d", "c", "g", "__h", "__c", "c0", "text"]
+    rows = [(i if i % 5 else None, "w " * (i % 9), "s" if i % 2 else None, *[f"{k}-{i}" for k in range(9)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"x{k} string" for k in range(9))).toDF(*names)
+    out = mixture.mixed(table)
+    assert out.columns == names
+    assert out.count() > 60 and {tuple(x) for x in out.collect()} <= set(rows)
