@@ -52,6 +52,32 @@ def test_tree_equals_merging_the_whole(own, leaf):
         assert tree.encode_piece(data) == own.merge(data)
 
 
+@pytest.mark.parametrize("leaf", [1, 2, 5, 64])
+def test_halves_of_texts_join_to_what_the_library_gives(library, leaf):
+    tree = Codec(PATH, leaf=leaf)
+    for t in texts():
+        assert np.frombuffer(tree.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
+    assert tree.joins > 1000 and tree.grown > 0
+
+
+def test_whole_documents_are_trees(spark, library):
+    own = Codec(PATH)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    for r in rows:
+        assert np.frombuffer(own.encode(r.text or ""), "<u4").tolist() == library.encode(r.text or "", add_special_tokens=False).ids
+    assert own.joins > 100
+
+
+def test_long_texts_are_rows_of_halves(spark, library):
+    r = random.Random(9)
+    long = ["".join(r.choice(["the ", "a'll ", "\n \n", "long", "éa ", "<|endoftext|>", "  ", "42"]) for _ in range(4000)) for _ in range(3)]
+    rows = [(1, long[0], "p"), (1, long[0], "p"), (2, long[1], None), (None, long[2], "q"), (3, "short", "r"), (4, None, "s"), (5, "x" * 9000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    got = encode_documents(docs, PATH, spread=1000, keep=("doc_id", "part")).collect()
+    want = sorted(((d, p, library.encode(t or "", add_special_tokens=False).ids) for d, t, p in rows), key=str)
+    assert sorted(((g.doc_id, g.part, g.ids) for g in got), key=str) == want
+
+
 def test_rows_of_every_kind(spark, library):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "x"), (None, "a b", None), (2, None, "y"), (3, "", "y"), (4, "long" * 20000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
