@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one the context has been given.
+
+    Only a session whose executors are threads of the driver gets a folder of our own; elsewhere one must be named.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -73,6 +79,21 @@ def columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.toDF(*names).select(*wanted)
 
 
+def placed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with its columns named by place (c0, c1, ...), so that no name clashes, and the names they had."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def place_of(names: list[str], wanted: str) -> str:
+    return f"c{names.index(wanted)}"
+
+
+def row_hash(seed: int, *cols: str) -> Column:
+    """64 bits of hash of some columns; where nulls are counts too. Two seeds give 128 bits."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    return F.xxhash64(F.lit(seed), nulls, *[F.col(c) for c in cols])
+
+
 # --- text columns as byte buffers -------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

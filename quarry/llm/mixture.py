@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, columns, stage
+from .base import checkpoint, columns, place_of, placed, row_hash, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and size that one task ranks together, about.
@@ -123,12 +123,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     empty table gives an empty result. Reruns agree: nothing depends on partitions or their order.
     """
     docs = columns(docs, ["doc_id", "source", "text"])
-    return _mix(docs, ("doc_id",), _key(docs, seed), _key(docs, seed + 1), weights, share, most)
-
-
-def _key(docs: DataFrame, seed: int) -> Column:
-    """A hash of all columns; where nulls are counts too."""
-    return F.xxhash64(F.lit(seed), F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in docs.columns]), *[F.col(c) for c in docs.columns])
+    h, g = (row_hash(seed + k, *docs.columns) for k in (0, 1))
+    return _mix(docs, ("doc_id",), h, g, weights, share, most)
 
 
 def _mix(docs: DataFrame, keep: Sequence[str], h: Column, g: Column, weights: Sequence[float], share: float, most: int) -> DataFrame:
@@ -166,11 +162,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     by their place here, so any names, clashing ones too, come back as they were; of several columns named doc_id,
     source or text the first counts. Nulls, empty texts and empty tables: as in `mix`.
     """
-    names = docs.columns
-    place = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    what = {f"c{names.index(c)}": c for c in ("source", "text")}
-    read = place.select(*[F.col(c).alias(n) for c, n in what.items()], "*")
-    h, g = (_key(place, k) for k in (seed, seed + 1))
+    place, names = placed(docs)
+    read = place.select(*[F.col(place_of(names, c)).alias(c) for c in ("source", "text")], "*")
+    h, g = (row_hash(seed + k, *place.columns) for k in (0, 1))
     total = _mix(read, (), h, g, weights, share, most).where("copies > 0").groupBy("__h", "__g").agg(F.sum("copies").cast("int").alias("__c"))
     once = place.withColumn("__h", h).withColumn("__g", g).dropDuplicates(["__h", "__g"])
     found = once.join(total, ["__h", "__g"])
