@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, columns, connected_components, groups, lower_ascii, mix64, span_hashes, stage, utf8, words
+from .base import checkpoint, columns, connected_components, groups, lower_ascii, mix64, place_of, placed, row_hash, span_hashes, stage, utf8, words
 
 WIDTH = 5
 #: A pair is linked if 100 * intersection >= percent * union; the percent of op8_minhash.
@@ -150,11 +150,12 @@ def most_ones(similarity: float, k: int = K) -> float:
     return BITS / 2 * (1 - np.exp(-4 * k * (1 - similarity) / BITS))
 
 
-def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (hash of the set), bands, sketch; the last four null for sets without members."""
-    kept = columns(docs, ["doc_id", "text"])
-    id_type = kept.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"]
+def signatures(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id (or `keep`), n_shingles, h1 and h2 (hash of the set), bands, sketch; the last four null for sets without members."""
+    kept = columns(docs, ["doc_id", "text"]) if keep is None else docs.select(*keep, "text")
+    keep = keep or ("doc_id",)
+    types = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, "n_shingles", "h1", "h2", "bands", "sketch"]
     n_bands, rows = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +177,11 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 list_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(samples, rows).view(np.int64).ravel()))
                 blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bits), pa.py_buffer(sketches(samples).tobytes())])
                 null = lambda a, none=none: pa.compute.if_else(none, None, a)
-                cols = [batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), null(pa.array(h[:, 0])), null(pa.array(h[:, 1])), list_, blob]
+                cols = [*[batch.column(c).slice(i, j - i) for c in keep], pa.array(size, pa.int64()), null(pa.array(h[:, 0])), null(pa.array(h[:, 1])), list_, blob]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 i = j
 
-    return kept.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
+    return kept.mapInArrow(run, f"{types}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
 def _canopies(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
@@ -317,16 +318,32 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER, percent: int = PE
        class from here on, so exact copies, however many, are one row.
     2. Classes are dealt by band. Within a band a single pass over sorted rows compares each with the band's leaders by
        sketch (see _canopies), so a band of any size costs rows times leaders and never all pairs.
-    3. Components over these candidate links are candidate groups. Their texts, one for each class, are fetched once and
-       confirmed on full sets (see exact_links). A group of more than `together` shingles is dealt out in parts, each
-       confirmed with the HUBS busiest leaders; if it isn't one component then, each pair of its parts is confirmed.
+    3. Components over these candidate links are candidate groups. Their texts, one for each class, are fetched once by
+       128 bits of hash of id and text and confirmed on full sets (see exact_links). A group of more than `together`
+       shingles is dealt out in parts, each confirmed with the HUBS busiest leaders; if it isn't one component then,
+       each pair of its parts is confirmed.
     4. Components over confirmed links are the result.
 
-    A text without words (or null) is linked with nothing and is its own component. Rows with one doc_id are one
-    document for links; a null id takes the smallest id of its component, and is kept only if all of it has none.
-    Repeated rows get equal results; an empty table gives an empty result; other columns are not read.
+    A text without words (or null) is linked with nothing and is its own component. Rows that share a doc_id, or have
+    none, are documents of their own for links; a null id takes the smallest id of its component, and is kept only if
+    all of it has none. Repeated rows get equal results; an empty table gives an empty result; other columns are not
+    read, and of several columns named doc_id or text the first counts.
     """
-    sig = stage(signatures(docs, percent), "minhash")
+    rows = columns(docs, ["doc_id", "text"]).withColumns({f"k{i}": row_hash(i, "doc_id", "text") for i in (1, 2)})
+    sig, classes = _components(rows, together, percent)
+    least = classes.groupBy("component").agg(F.min("best.doc_id").alias("component_id"))
+    ids = checkpoint(classes.join(least, "component").select("h1", "h2", "component_id"))
+    found = sig.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2"], "left")
+    found = found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(rows: DataFrame, together: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of rows (doc_id, k1, k2, text), and of each class: h1, h2, best, component (the h1 of a class).
+
+    `best` is the class's row of smallest doc_id, nulls last: (none, doc_id, k1, k2).
+    """
+    sig = stage(signatures(rows, percent, ("doc_id", "k1", "k2")), "minhash")
     full = sig.where("n_shingles > 0")
     classes = full.groupBy("h1", "h2").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     members = classes.select("h1", "sketch", F.explode("bands").alias("band"))
@@ -334,13 +351,13 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER, percent: int = PE
     candidates = stage(members.select("band", "h1", "sketch").mapInArrow(lambda batches: _canopies(batches, percent), "node bigint, leader bigint").distinct(), "candidates")
     parts = connected_components(candidates).select(F.col("node").alias("h1"), F.col("component").alias("g"))
 
-    ids = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("n_shingles").alias("n"))
+    ids = full.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best"), F.max("n_shingles").alias("n"))
     inside = ids.join(parts, "h1")
     sizes = inside.groupBy("g").agg(F.ceil(F.sum("n") / together).cast("int").alias("m"))
-    inside = stage(inside.join(sizes, "g").select("g", "m", "h1", "h2", "d"), "groups")
-    texts = columns(docs, ["doc_id", "text"])
+    inside = stage(inside.join(sizes, "g").select("g", "m", "h1", "h2", F.col("best.k1").alias("x1"), F.col("best.k2").alias("x2")), "groups")
     # Not left to sizes: a broadcast of small candidate groups would be another plan than that of large ones.
-    texts = texts.hint("merge").join(inside, F.col("doc_id").eqNullSafe(F.col("d"))).select("g", "m", "h1", "h2", "text")
+    same = (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))
+    texts = rows.select("k1", "k2", "text").hint("merge").join(inside, same).select("g", "m", "h1", "h2", "text")
     large = inside.where("m > 1").limit(1).count() > 0
     if large:
         texts = stage(texts, "texts")
@@ -363,17 +380,23 @@ def near_duplicates(docs: DataFrame, together: int = TOGETHER, percent: int = PE
         pairs = pairs.withColumn("p", F.least("c", "e")).withColumn("q", F.greatest("c", "e"))
         links = links.unionAll(confirm(pairs, "g", "p", "q"))
     joined = connected_components(links).select(F.col("node").alias("h1"), "component")
-
-    ids = ids.select("h1", "h2", "d").join(joined, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    ids = checkpoint(ids)
-    least = ids.groupBy("component").agg(F.min("d").alias("component_id"))
-    ids = ids.join(least, "component").select("h1", "h2", "component_id")
-    found = sig.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2"], "left")
-    found = found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return sig, checkpoint(ids.select("h1", "h2", "best").join(joined, "h1", "left").withColumn("component", F.coalesce("component", "h1")))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are kept: the one of smallest doc_id of each component."""
-    kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("d")).distinct()
-    return docs.hint("merge").join(kept, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    """One row of each component: that of smallest doc_id, nulls last (of equal ones, that of least hash).
+
+    Texts without words are linked with nothing and all stay. Rows are known by 128 bits of hash of all their columns,
+    so null and repeated ids are no matter: of rows that are equal in every column one stays, and no text goes for
+    another's id. Columns are known by their place, so any names come back as they were; of several columns named
+    doc_id or text the first counts; an empty table gives an empty result.
+    """
+    place, names = placed(docs)
+    who, what = place_of(names, "doc_id"), place_of(names, "text")
+    keys = {f"k{i}": row_hash(i, *place.columns) for i in (1, 2)}
+    rows = place.select(F.col(who).alias("doc_id"), F.col(what).alias("text"), *[v.alias(k) for k, v in keys.items()])
+    _, classes = _components(rows, TOGETHER, percent)
+    best = classes.groupBy("component").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
+    worded = F.coalesce(F.col(what).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = place.where(worded).withColumns(keys).hint("merge").join(best.distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*place.columns).unionAll(place.where(~worded)).toDF(*names)
