@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, lower_ascii, mix64, powers, span_hashes, stage, utf8, words
+from .base import columns, lower_ascii, mix64, place_of, placed, powers, row_hash, span_hashes, stage, utf8, words
 
 #: A run is the fewest sentences from a given one on that are at least so many and have at least so many words. Where
 #: both ends are asked for, so is a run the fewest up to a given sentence, and one sentence of at least so many words.
@@ -95,23 +95,25 @@ def _explode(batches: Iterator[pa.RecordBatch], both_ends: bool = False) -> Iter
             at = offsets[i : j + 1]
             row, pos, _, h, *_ = runs(data[at[0] : at[-1]], at - at[0], both_ends=both_ends)
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("d").take(pa.array(row + i)), pa.array(pos.astype(np.int32))], ["h", "d", "pos"])
+                take = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("d").take(take), batch.column("k").take(take), pa.array(pos.astype(np.int32))], ["h", "d", "k", "pos"])
 
 
 def repeated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
-    """d (doc_id), pos, h: every run whose words also appear as a run before it, by doc_id (null first) and place.
+    """d (doc_id), k (hash of id and text), pos, h: every run whose words also appear as a run before it.
 
-    The first place of each hash is a min by key, combined before the shuffle. Only hashes that occur again are kept, in
-    a written table: adaptive execution splits a join's large partition, where a passage is in very many documents, only
-    if both sides come straight from a shuffle. Texts are not shuffled.
+    Before: by doc_id (null first), then k, then place. The first place of each hash is a min by key, combined before
+    the shuffle. Only hashes that occur again are kept, in a written table: adaptive execution splits a join's large
+    partition, where a passage is in very many documents, only if both sides come straight from a shuffle. Texts are
+    not shuffled.
     """
-    kept = columns(docs, ["doc_id", "text"]).select(F.col("doc_id").alias("d"), "text")
+    kept = columns(docs, ["doc_id", "text"]).select(F.col("doc_id").alias("d"), row_hash(0, "doc_id", "text").alias("k"), "text")
     id_type = kept.schema["d"].dataType.simpleString()
-    every = kept.mapInArrow(lambda batches: _explode(batches, both_ends), f"h bigint, d {id_type}, pos int")
-    first = every.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stage(first.select("h", F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "substrings")
+    every = kept.mapInArrow(lambda batches: _explode(batches, both_ends), f"h bigint, d {id_type}, k bigint, pos int")
+    first = every.groupBy("h").agg(F.min(F.struct("d", "k", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stage(first.select("h", F.col("first.k").alias("k0"), F.col("first.d").alias("d0"), F.col("first.pos").alias("p0")), "substrings")
     found = every.hint("merge").join(first.hint("merge"), "h")
-    return found.where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("pos") == F.col("p0")))).select("d", "pos", "h")
+    return found.where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("k") == F.col("k0")) & (F.col("pos") == F.col("p0")))).select("d", "k", "pos", "h")
 
 
 def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
@@ -119,23 +121,26 @@ def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
 
     Every sentence that a repeated run covers, other than the run's first place in the table, is removed with the white
     space after it; op1_substrings and the pipeline ask for runs from `both_ends` (see runs). Each document's repeated
-    runs, at most one a sentence (three with `both_ends`), are gathered by doc_id and meet the texts in
-    one join, a merge at any size; they are looked up by place and hash in the text, so documents that share a doc_id can't be cut for one
-    another. Rows that repeat a doc_id and text are one place and are cut alike. Null and empty texts stay as they are; a
-    text all of whose sentences are removed becomes empty (or the white space it begins with); runs never cross
-    documents; an empty table gives an empty result. Where `docs` has columns of the added names, these replace them.
+    runs, at most one a sentence (three with `both_ends`), are gathered by the hash of its id and text and meet the
+    texts in one join, a merge at any size; they are looked up by place and hash in the text, so no document can be cut
+    for another. Rows that repeat both doc_id and text are one place and are cut alike; rows that share only the id, or
+    have none, are documents of their own. Null and empty texts stay as they are; a text all of whose sentences are
+    removed becomes empty (or the white space it begins with); runs never cross documents; an empty table gives an
+    empty result. Columns are known by their place, so any names come back as they were, but where `docs` has columns
+    of the added names, these replace them; of several columns named doc_id or text the first counts.
     """
     added = ["n_sentences", "n_removed", "n_spans"]
-    names = [c for c in docs.columns if c not in added]
-    cuts = repeated(docs, both_ends).groupBy("d").agg(F.collect_list("pos").alias("__pos"), F.collect_list("h").alias("__h"))
-    joined = columns(docs, names).hint("merge").join(cuts, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
-    kept = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", n_sentences bigint, n_removed bigint, n_spans bigint"
-    where = names.index("text")
+    place, names = placed(docs)
+    who, what = place_of(names, "doc_id"), place_of(names, "text")
+    stay = [f"c{i}" for i, c in enumerate(names) if c not in added]
+    cuts = repeated(docs, both_ends).groupBy("k").agg(F.collect_list("pos").alias("__pos"), F.collect_list("h").alias("__h")).withColumnRenamed("k", "__k")
+    joined = place.select(*stay).withColumn("__key", row_hash(0, who, what)).hint("merge").join(cuts, F.col("__key") == F.col("__k"), "left").drop("__k", "__key")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in place.select(*stay).schema.fields) + ", n_sentences bigint, n_removed bigint, n_spans bigint"
+    where = stay.index(what)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = utf8(batch.column(what))
             texts: list = [None] * batch.num_rows
             counts = np.zeros((3, batch.num_rows), np.int64)
             asked = batch.column("__pos").is_valid().to_numpy(zero_copy_only=False)
@@ -150,6 +155,8 @@ def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
                 for k in np.flatnonzero(asked[i:j]):
                     want = set(zip(batch.column("__pos")[i + k].as_py(), batch.column("__h")[i + k].as_py(), strict=True))
                     n = s0[k + 1] - s0[k]
+                    if not n:
+                        continue  # another text with the same hash
                     cover = np.zeros(n + 1, np.int64)
                     for p, c, x in zip(pos[r0[k] : r0[k + 1]].tolist(), count[r0[k] : r0[k + 1]].tolist(), h[r0[k] : r0[k + 1]].tolist(), strict=True):
                         if (p, x) in want:
@@ -160,20 +167,30 @@ def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
                     begin = starts[first[s0[k] : s0[k + 1]]]
                     stops = np.r_[begin[1:], at[k + 1]]
                     texts[i + k] = part[at[k] : begin[0]].tobytes() + b"".join(part[a:b].tobytes() for a, b in zip(begin[~gone].tolist(), stops[~gone].tolist(), strict=True))
-            text = batch.column("text")
-            if asked.any():
+            text = batch.column(what)
+            cut_ = np.array([t is not None for t in texts], bool)
+            if cut_.any():
                 new = pa.array([t.decode("utf-8") if t is not None else None for t in texts], text.type)
-                text = pa.compute.if_else(pa.array(asked), new, text)
-            cols = [batch.column(c) for c in names]
+                text = pa.compute.if_else(pa.array(cut_), new, text)
+            cols = [batch.column(c) for c in stay]
             cols[where] = text
-            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, counts)], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, counts)], [*stay, *added])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*[c for c in names if c not in added], *added)
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """The columns of `docs`: texts without repeats and n_chars to match; documents that lost all their text go."""
-    found = deduplicated(docs, both_ends=True).where("not (n_removed > 0 and n_removed = n_sentences)")
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    """The columns of `docs`: texts without repeats and n_chars to match; documents that lost all their text go.
+
+    Any column names come back as they were, in their order; nulls, repeated rows, empty texts and tables are handled
+    as in `deduplicated`. Of several columns named doc_id, text or n_chars the first counts.
+    """
+    place, names = placed(docs)
+    found, _ = placed(deduplicated(place.withColumnsRenamed({place_of(names, c): c for c in ("doc_id", "text")}), both_ends=True))
+    total, removed = (f"c{len(names) + k}" for k in (0, 1))
+    found = found.where(f"not ({removed} > 0 and {removed} = {total})")
+    if "n_chars" in names:
+        size, text = place_of(names, "n_chars"), place_of(names, "text")
+        new = F.when(F.col(removed) > 0, F.length(text).cast(docs.schema.fields[names.index("n_chars")].dataType)).otherwise(F.col(size))
+        found = found.withColumn(size, new)
+    return found.select(*place.columns).toDF(*names)
