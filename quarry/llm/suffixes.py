@@ -15,8 +15,10 @@ from .base import columns, mix64, powers, stage, utf8
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor its windows.
 LENGTH, GRAM = 200, 64
-#: Windows of a batch of the index, about.
-BATCH = 1 << 20
+#: Windows of a batch of the index, about, and windows from which a family ends with the anchor.
+BATCH, HELD = 1 << 18, 1 << 22
+#: Suffixes of one array that are written out at a time while two are scanned.
+_PART = 1 << 14
 #: Contexts of one anchor beyond which its windows are dealt out one by one.
 HOT = 100_000
 _STEP = 1 << 19
@@ -89,87 +91,103 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Level:
-    """A sorted array of suffixes: keys, and each one's window in the family."""
+    """A suffix array: places of a text in the order of the `length` bytes that begin there, and the window at each."""
 
-    def __init__(self, keys: np.ndarray, window: np.ndarray):
-        self.keys, self.window = keys, window
+    def __init__(self, text: np.ndarray, at: np.ndarray, window: np.ndarray, length: int):
+        self.text, self.at, self.window, self.length = text, at, window, length
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return len(self.at)
+
+    def strings(self, i: int, j: int) -> np.ndarray:
+        """The suffixes of a part of the array, as byte strings of `length` each (compared like these, zeros too)."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.at[i:j]]).view(f"S{self.length}").ravel()
+
+    def places(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """A scan of both arrays side by side: how many of these suffixes are less than each of the others, and whether
+        one equals it. Both are in order, so a part of one meets only the parts of the other that overlap it."""
+        out, equal = np.full(len(other), len(self)), np.zeros(len(other), bool)
+        x = 0
+        for i in range(0, len(other), _PART):
+            theirs = other.strings(i, i + _PART)
+            k = 0  # those before it are placed
+            while x < len(self):
+                mine = self.strings(x, x + _PART)
+                if not mine[-1] < theirs[k]:
+                    at = np.searchsorted(mine, theirs[k:])
+                    done = int(np.searchsorted(at, len(mine)))
+                    own = slice(i + k, i + k + done)
+                    out[own], equal[own] = x + at[:done], mine[at[:done]] == theirs[k : k + done]
+                    k += done
+                    if k == len(theirs):
+                        break
+                x += _PART
+        return out, equal
 
 
 class Family:
     """Suffix arrays of geometrically growing sizes over the contexts seen so far; finds windows seen more than once.
 
-    The suffixes are those at the windows of the contexts, sorted by their first two bytes and the hash of their first
-    `length` bytes: where these are equal, suffixes match for `length` bytes, which is then confirmed byte by byte.
+    The suffixes are those at the windows of the contexts, in the order of their first `length` bytes: a new batch gets
+    an array of its own, whose neighbours with a common prefix of `length` bytes are repeats. It is then scanned side by
+    side with each level for equals, and levels of about equal size are merged by the same scan. Nothing is hashed.
     """
 
     def __init__(self, length: int = LENGTH, batch: int = BATCH):
         self.length, self.batch = length, batch
         self.levels: list[Level] = []
-        self.texts: list[np.ndarray] = []
-        self.starts: list[np.ndarray] = []  # of windows, in all texts together
         self.repeated: list[np.ndarray] = []
-        self.windows = self.size = 0
+        self.ends: list[int] = []
+        self.windows = 0
 
     def add(self, text: np.ndarray, starts: np.ndarray) -> None:
         """A batch: its suffix array is built, scanned against itself and every level, and merged with equals."""
-        own = np.r_[text, np.zeros(self.length, np.uint8)]
-        roll = Rolling(own)
-        keys = (own[starts].astype(_U) << _U(56)) | (own[starts + 1].astype(_U) << _U(48)) | (roll.of(starts, starts + self.length) >> _U(16))
-        order = np.argsort(keys, kind="stable")
-        keys, window = keys[order], order + self.windows
-        self.texts.append(text)
-        self.starts.append(starts + self.size)
+        if not len(starts):
+            return
+        own = Level(text, starts, np.arange(len(starts)) + self.windows, self.length)
+        strings = own.strings(0, len(own))
+        order = np.argsort(strings, kind="stable")
+        strings = strings[order]
+        own.at, own.window = starts[order], own.window[order]
         self.repeated.append(np.zeros(len(starts), bool))
         self.windows += len(starts)
-        self.size += len(text)
-        new = Level(keys, window)
-        same = np.flatnonzero(keys[1:] == keys[:-1])
-        self._mark(window[same], window[same + 1])
+        self.ends.append(self.windows)
+        same = np.flatnonzero(strings[1:] == strings[:-1])
+        del strings
+        self._mark(own.window[same])
+        self._mark(own.window[same + 1])
         for level in self.levels:
-            at = np.searchsorted(level.keys, keys)
-            at[at == len(level)] = 0
-            hit = np.flatnonzero(level.keys[at] == keys)
-            self._mark(window[hit], level.window[at[hit]])
-        self.levels.append(new)
+            at, hit = level.places(own)
+            self._mark(own.window[hit])
+            self._mark(level.window[at[hit]])
+        self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
-            keys, window = np.r_[a.keys, b.keys], np.r_[a.window, b.window]
-            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-            self.levels.append(Level(keys[order], window[order]))
-
-    def _bytes(self, window: np.ndarray) -> np.ndarray:
-        ends = np.cumsum([len(x) for x in self.starts])
-        which = np.searchsorted(ends, window, "right")
-        out = np.empty((len(window), self.length), np.uint8)
-        base = np.r_[0, np.cumsum([len(t) for t in self.texts])]
+            at, _ = a.places(b)
+            at += np.arange(len(b))  # where the second array's suffixes come in the merged one
+            first = np.ones(len(a) + len(b), bool)
+            first[at] = False
+            merged = Level(np.concatenate([a.text, b.text]), np.empty(len(first), np.int64), np.empty(len(first), np.int64), self.length)
+            merged.at[first], merged.at[at] = a.at, b.at + len(a.text)
+            merged.window[first], merged.window[at] = a.window, b.window
+            self.levels.append(merged)
+
+    def _mark(self, window: np.ndarray) -> None:
+        which = np.searchsorted(self.ends, window, "right")
         for k in np.unique(which):
-            own = which == k
-            at = self.starts[k][window[own] - (ends[k] - len(self.starts[k]))] - base[k]
-            out[own] = np.lib.stride_tricks.sliding_window_view(self.texts[k], self.length)[at]
-        return out
-
-    def _mark(self, a: np.ndarray, b: np.ndarray) -> None:
-        ends = np.cumsum([len(x) for x in self.starts])
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            equal = (self._bytes(x) == self._bytes(y)).all(1)
-            if not equal.all():
-                raise RuntimeError("two strings have one hash; use another base")
-            for w in (x, y):
-                which = np.searchsorted(ends, w, "right")
-                for k in np.unique(which):
-                    own = w[which == k]
-                    self.repeated[k][own - (ends[k] - len(self.starts[k]))] = True
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows of each context of a partition, which holds all contexts of its anchors."""
-    family = Family()
-    ids, many, counts = [], [], []
+            self.repeated[k][window[which == k] - (self.ends[k] - len(self.repeated[k]))] = True
+
+
+def _matched(batches: Iterator[pa.RecordBatch], held: int = HELD, batch_size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows of each context of a partition, which holds all contexts of its anchors, sorted by them.
+
+    Equal windows have equal anchors, so a family may end between any two anchors: it does once it has `held` windows.
+    What a task holds is bounded by that and by the contexts of one anchor.
+    """
+    family = Family(batch=batch_size)
+    known: list[tuple[pa.RecordBatch, np.ndarray]] = []
     parts, starts, size, windows = [], [], 0, 0
+    last: int | None = None
 
     def flush() -> None:
         nonlocal parts, starts, size, windows
@@ -177,56 +195,67 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             family.add(np.concatenate(parts), np.concatenate(starts))
         parts, starts, size, windows = [], [], 0, 0
 
-    for batch in batches:
-        data, at = utf8(batch.column("context"))
-        length = np.diff(at) - LENGTH + 1
-        ids.append((batch.column("a"), batch.column("c")))
-        many.append(np.asarray(batch.column("n")) > 1)
-        counts.append(length)
-        for i in range(0, batch.num_rows, 2048):
-            j = min(batch.num_rows, i + 2048)
-            own = length[i:j]
-            begin = np.repeat(at[i:j] - at[i], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            parts.append(data[at[i] : at[j]])
-            starts.append(begin + size)
-            size += at[j] - at[i]
-            windows += len(begin)
-            if windows >= BATCH:
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal family, known
+        flush()
+        count = np.concatenate([c for _, c in known])
+        flag = np.concatenate(family.repeated) | np.repeat(np.concatenate([np.asarray(b.column("n")) > 1 for b, _ in known]), count)
+        of = np.repeat(np.arange(len(count)), count)
+        pos = np.arange(len(flag)) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.flatnonzero(np.r_[True, (flag[1:] != flag[:-1]) | (of[1:] != of[:-1])])
+        end = np.r_[begin[1:], len(flag)]
+        begin, end = begin[flag[begin]], end[flag[begin]]
+        a, c = (pa.concat_arrays([b.column(k) for b, _ in known]) for k in ("a", "c"))
+        for i in range(0, len(begin), 100_000):
+            s = slice(i, i + 100_000)
+            take = pa.array(of[begin[s]])
+            yield pa.RecordBatch.from_arrays([a.take(take), c.take(take), pa.array(pos[begin[s]], pa.int32()), pa.array((end - begin)[s], pa.int32())], ["a", "c", "skip", "windows"])
+        family, known = Family(batch=batch_size), []
+
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        anchor = np.asarray(whole.column("a"))
+        edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        # Cut where an anchor begins, and into stretches of some rows.
+        every = np.arange(0, whole.num_rows, 2048)
+        cuts = np.unique(np.r_[every, edge[np.minimum(np.searchsorted(edge, every), len(edge) - 1)], whole.num_rows])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if known and family.windows + windows >= held and anchor[i] != last:
+                yield from ended()
+            last = int(anchor[j - 1])
+            rows = whole.slice(i, j - i)
+            data, at = utf8(rows.column("context"))
+            own = np.diff(at) - LENGTH + 1
+            parts.append(data)
+            starts.append(np.repeat(at[:-1], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + size)
+            known.append((rows.select(["a", "c", "n"]), own))
+            size += len(data)
+            windows += int(own.sum())
+            if windows >= batch_size:
                 flush()
-    flush()
-    if not ids:
-        return
-    count = np.concatenate(counts)
-    flag = np.concatenate(family.repeated) if family.repeated else np.zeros(0, bool)
-    flag |= np.repeat(np.concatenate(many), count)
-    of = np.repeat(np.arange(len(count)), count)
-    pos = np.arange(len(flag)) - np.repeat(np.cumsum(count) - count, count)
-    edge = np.r_[True, (flag[1:] != flag[:-1]) | (of[1:] != of[:-1])] if len(flag) else np.zeros(0, bool)
-    begin = np.flatnonzero(edge)
-    end = np.r_[begin[1:], len(flag)]
-    keep = flag[begin]
-    begin, end = begin[keep], end[keep]
-    a, c = (pa.concat_arrays([x[k] for x in ids]) for k in (0, 1))
-    take = pa.array(of[begin])
-    for i in range(0, len(begin), 100_000):
-        s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([a.take(take[s]), c.take(take[s]), pa.array(pos[begin][s], pa.int32()), pa.array((end - begin)[s], pa.int32())], ["a", "c", "skip", "windows"])
+    if known:
+        yield from ended()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that each text was asked for."""
+    """The bytes of all contexts that each text was asked for; a text comes once with the list of them."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        first, count = (np.asarray(batch.column(x)).astype(np.int64) for x in ("first", "count"))
-        begin = offsets[:-1] + first
+        asked = batch.column("asked")
+        flat, many = asked.flatten(), np.asarray(pa.compute.list_value_length(asked))
+        first, count = (np.asarray(flat.field(x)).astype(np.int64) for x in ("first", "count"))
+        row = np.repeat(np.arange(batch.num_rows), many)
+        begin = offsets[row] + first
         ends = begin + count + LENGTH - 1
-        size = ends - begin
-        at = np.r_[0, np.cumsum(size)]
-        for i in range(0, batch.num_rows, 20_000):
-            j = min(batch.num_rows, i + 20_000)
-            idx = np.repeat(begin[i:j] - (at[i:j] - at[i]), size[i:j]) + np.arange(at[j] - at[i])
-            blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at[i : j + 1] - at[i]).astype(np.int32)), pa.py_buffer(data[idx])])
-            yield pa.RecordBatch.from_arrays([batch.column(x).slice(i, j - i) for x in ("a", "c", "n")] + [blob], ["a", "c", "n", "context"])
+        fits = ends <= offsets[row + 1]  # else another text has the same hash
+        for i in range(0, len(row), 20_000):
+            j = min(len(row), i + 20_000)
+            keep = np.flatnonzero(fits[i:j]) + i
+            size = ends[keep] - begin[keep]
+            idx = np.repeat(begin[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            blob = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data[idx])])
+            yield pa.RecordBatch.from_arrays([flat.field(x).take(pa.array(keep)) for x in ("a", "c", "n")] + [blob], ["a", "c", "n", "context"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +299,10 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     1. Each text gives its anchors and their contexts' hashes in one pass; anchors found once in the corpus go, as
        none of their windows can be elsewhere. What stays is proportional to what is repeated.
-    2. Equal contexts are one row with a count. Their bytes are fetched from one document each.
-    3. Contexts are dealt by anchor, so equal windows meet in one partition, where a Family takes them in batches.
+    2. Equal contexts are one row with a count. Their bytes are fetched from one document each, all that a document is
+       asked for at once.
+    3. Contexts are dealt and sorted by anchor, so equal windows meet in one partition, where a Family takes them in
+       batches (see _matched).
     4. An anchor with more than `hot` different contexts (a common string shorter than LENGTH in many surroundings) is
        not gathered: its windows are counted one by one by their hashes of 128 bits.
     """
@@ -287,8 +318,9 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if any_hot:
         contexts = contexts.join(crowded, "a", "left_anti")
     # Documents of equal r are equal: one stands for all.
-    bytes_ = contexts.join(texts.hint("merge"), "r").select("a", "c", "n", "first", "count", "text").mapInArrow(_contexts, "a bigint, c bigint, n bigint, context binary")
-    runs = bytes_.repartition("a").mapInArrow(_matched, "a bigint, c bigint, skip int, windows int")
+    asked = contexts.groupBy("r").agg(F.collect_list(F.struct("a", "c", "n", "first", "count")).alias("asked"))
+    bytes_ = asked.join(texts.hint("merge"), "r").select("asked", "text").mapInArrow(_contexts, "a bigint, c bigint, n bigint, context binary")
+    runs = bytes_.repartition("a").sortWithinPartitions("a").mapInArrow(_matched, "a bigint, c bigint, skip int, windows int")
     out = places.hint("merge").join(runs, ["a", "c"]).select("r", (F.col("first") + F.col("skip")).alias("first"), "windows")
     if any_hot:
         each = places.join(crowded, "a", "left_semi").join(texts, "r").mapInArrow(_windows, "h binary, r bigint, first int")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import suffixes
@@ -74,3 +75,37 @@ def test_anchors_do_not_depend_on_stretches(monkeypatch):
     got = suffixes.anchors(data, at)
     every = lambda x: [(r, f + k, g) for r, f, c, g, _ in zip(*(y.tolist() for y in x), strict=True) for k in range(c)]
     assert every(got) == every(want)
+
+
+def test_levels_are_suffix_arrays_and_merges_are_scans():
+    r = np.random.default_rng(8)
+    family = suffixes.Family(length=9)
+    for n in (700, 90, 800, 40, 1500, 60):
+        family.add(r.integers(0, 3, n).astype(np.uint8), np.arange(n - 8))
+        for level in family.levels:
+            strings = [level.text[i : i + 9].tobytes() for i in level.at]
+            assert strings == sorted(strings)
+    assert sorted(np.concatenate([x.window for x in family.levels]).tolist()) == list(range(family.windows))
+
+
+def test_small_families_and_parts_give_the_same(monkeypatch):
+    rows = corpus(7)
+    data = pa.array([(t or "") for _, t in rows])
+    raw, at = suffixes.utf8(data)
+    row, first, count, g, c = suffixes.anchors(raw, at)
+    order = np.argsort(g.view(np.int64), kind="stable")
+    contexts = [raw[at[row[i]] + first[i] : at[row[i]] + first[i] + count[i] + suffixes.LENGTH - 1].tobytes() for i in order]
+    batch = pa.record_batch({"a": g.view(np.int64)[order], "c": np.arange(len(order)), "n": np.ones(len(order), np.int64), "context": pa.array(contexts, pa.binary())})
+    found = lambda **k: sorted(tuple(x.values()) for b in suffixes._matched(iter([batch.slice(0, 50), batch.slice(50)]), **k) for x in b.to_pylist())
+    want = found()
+    assert want
+    monkeypatch.setattr(suffixes, "_PART", 64)
+    assert found(held=1, batch_size=300) == want == found(held=5000, batch_size=1)
+
+
+def test_a_very_long_repeated_text(spark):
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2_000_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "head " + text[1_000_000:1_000_500] + " tail")], "doc_id long, text string")
+    got = {x.doc_id: x for x in suffixes.without_repeats(docs).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3)] == [2_000_000, 2_000_000, 500]
