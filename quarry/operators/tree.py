@@ -36,6 +36,7 @@ text, .axis text, .tick text, .legend text { font-family: sans-serif; font-size:
 # Attributes that scale with the drawing.
 LENGTHS = ("x", "cx", "x1", "x2", "y", "cy", "y1", "y2", "width", "height", "r", "rx", "ry", "font-size", "stroke-width")
 STROKES = ("stroke", "stroke-width", "stroke-opacity", "stroke-linecap", "stroke-linejoin", "stroke-miterlimit", "stroke-dasharray", "stroke-dashoffset")
+# Labels of ticks that were lost, by chart and place.
 TICK_LABELS = {
     "0a7d7e7b-3870-4da2-9bbc-808b205b5bc3": {0: "Q1 '16", 1: "Q2 '16", 2: "Q3 '16", 3: "Q4 '16"},
     "0cc0d53a-afec-447e-95f3-36cf0f0e2508": {2: "Q1 '05", 19: "Q2 '09", 32: "Q2 '12", 47: "Q4 '16"},
@@ -699,6 +700,42 @@ def edited(df: DataFrame, column: str, steps: Sequence[Callable[[Element], objec
     return kept.mapInArrow(run, schema)
 
 
+def _made(df: DataFrame, columns: Sequence[str], f: Callable[..., str | None], out: str) -> DataFrame:
+    names = [c for c in df.columns if c != out]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"`{out}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+            made = pa.array([None if v[0] is None else f(*v) for v in values], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [made], [*names, out])
+
+    return df.select(*names).mapInArrow(run, schema)
+
+
+def rewritten(df: DataFrame, column: str, f: Callable[[str], str | None], out: str = "svg") -> DataFrame:
+    """`df` with each document of a column passed through a function of whole texts; nulls stay null."""
+    return _made(df, [column], f, out)
+
+
+def denormalized(df: DataFrame, column: str, meta: Sequence[str], out: str = "svg") -> DataFrame:
+    """`df` with documents framed as before they were normalized; `meta`: width, height, scale and both paddings."""
+    return _made(df, [column, *meta], denormalize, out)
+
+
+def unwrapped(text: str) -> str:
+    root, _ = parse(text)
+    return text if root is None else unwrap(root)
+
+
+def wrapped(text: str) -> str | None:
+    """As wrap_raw, but null where that fails."""
+    try:
+        return wrap_raw(text)
+    except ValueError:
+        return None
+
+
 NODES = "node_id int, parent_id int, depth int, ord int, tag string, attrs map<string,string>, text string, tail string, path array<int>"
 
 

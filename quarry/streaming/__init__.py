@@ -1 +1,7 @@
+"""Incremental runs and streams: files that arrive, windows with late rows, and scheduling of turns by key."""
 
+from .incremental import run_available
+from .turns import scheduled_turns
+from .windows import windowed_counts
+
+__all__ = ["run_available", "scheduled_turns", "windowed_counts"]
