@@ -1,7 +1,8 @@
 """Path, transform and style geometry of vector markup.
 
-What a fixed pattern can read (points, arcs, extents, token text) is built from columns. The grammars of path data and
-transform lists are sequential, so these run as Arrow-batched functions; each is also a plain function of one value.
+What patterns can read (points, extents, token text, paths without arcs, styles, translations and rotations) is built from
+columns. Arcs, whose flags may stick to the next number, and other transforms are read in sequence: only texts with these
+go to Arrow-batched functions. Each is also a plain function of one value.
 """
 
 from __future__ import annotations
@@ -128,8 +129,6 @@ def style_mapped(style: str | None, length: Callable[[float], float]) -> str | N
         m = _LENGTH.match(value.strip().lower()) if colon and key.lower() in ("font-size", "stroke-width") else None
         if m:
             out.append(f"{key}: {length(float(m[1]) * (16.0 if m[2] in ('em', 'rem') else 1.0))}px")
-        elif item and colon:
-            out.append(item if key.lower() in ("font-size", "stroke-width") else f"{item}")
         elif item:
             out.append(item)
     return "; ".join(out)
@@ -143,16 +142,91 @@ def _udf(f: Callable[[str, float], str]):
     return pandas_udf(run, "string")
 
 
-def _column(f: Callable[[str, float], str]) -> Callable[[Column, Column], Column]:
-    return lambda c, scale: _udf(f)(c, scale.cast("double"))
+def _either(c: Column, plain: Column, native: Column, f: Callable[[str, float], str], scale: Column) -> Column:
+    """The native expression where a text is plain enough for it; only the other texts go to Python."""
+    plain = F.coalesce(plain, F.lit(True))
+    return F.when(plain, native).otherwise(_udf(f)(F.when(~plain, c), scale.cast("double")))
 
 
-scale_path = _column(path_scaled)
-unscale_path = _column(path_unscaled)
-scale_transform = _column(lambda t, s: transform_mapped(t, lambda v: round(v * s, 1)))
-unscale_transform = _column(lambda t, s: transform_mapped(t, lambda v: round(v / s, 2)) if s else t)
-scale_style = _column(lambda t, s: style_mapped(t, lambda v: round(v * s, 1)))
-unscale_style = _column(lambda t, s: style_mapped(t, lambda v: round(v / s, 2)) if s else t)
+_COMMAND, _REST = r"([MmLlHhVvCcSsQqTtZz])([^MmLlHhVvCcSsQqTtZz]*)", r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+
+
+def _path(c: Column, f: Callable[[str, float], str], scale: Column, number: Callable[[Column], Column]) -> Column:
+    """Paths without arcs, whose flags may stick to what follows, as arrays of commands; the others in Python."""
+    text = F.regexp_replace(c, "NaN|nan|NAN|null", "0")
+    count = F.create_map(*[F.lit(x) for k, v in ARGUMENTS.items() for x in (k, v)])
+
+    def one(cmd: Column, rest: Column) -> Column:
+        n = F.try_element_at(count, F.upper(cmd))
+        args = F.regexp_extract_all(rest, F.lit(_REST), F.lit(0))
+        whole = F.slice(args, 1, F.when(n > 0, F.size(args) - F.size(args) % n).otherwise(0))
+        return F.array_join(F.concat(F.array(cmd), F.transform(whole, lambda x: number(x.cast("double")))), " ")
+
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(1)), F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(2)), one)
+    native = F.when(F.length(c) < 2, c).otherwise(F.array_join(parts, " "))
+    return _either(c, ~c.rlike("[Aa]"), native, f, scale)
+
+
+def _two(v: Column) -> Column:
+    """At most two decimals, at least one."""
+    return F.regexp_replace(fixed(v, 2), "0$", "")
+
+
+def scale_path(c: Column, scale: Column) -> Column:
+    return _path(c, path_scaled, scale, lambda v: fixed(v * scale, 1))
+
+
+def unscale_path(c: Column, scale: Column) -> Column:
+    return F.when(scale == 0, c).otherwise(_path(c, path_unscaled, scale, lambda v: _two(v / F.nullif(scale, F.lit(0.0)))))
+
+
+#: Translations and rotations by numbers of usual size; other functions, and numbers that print otherwise, go to Python.
+_USUAL = r"^(?:[\s,]*(?:translate|rotate)\s*\((?:[\s,]*[-+]?(?:\d{1,6}(?:\.\d*)?|\.\d+)(?:deg|px)?)+[\s,]*\))*[\s,]*$"
+_TINY = r"(?<![\d.])0*\.00"
+
+
+def _transform(c: Column, f: Callable[[str, float], str], scale: Column, number: Callable[[Column], Column]) -> Column:
+    def one(name: Column, inner: Column) -> Column:
+        args = F.regexp_extract_all(inner, F.lit(r"[-+]?(?:\d+\.?\d*|\.\d+)"), F.lit(0))
+        turn = name == "rotate"
+        said = F.transform(F.slice(args, 1, F.when(turn, 3).otherwise(2)), lambda x, i: F.when(turn & (i == 0), x.cast("double").cast("string")).otherwise(number(x.cast("double"))))
+        return F.concat(name, F.lit("("), F.array_join(said, ", "), F.lit(")"))
+
+    call = F.lit(_CALL.pattern)
+    calls = F.zip_with(F.regexp_extract_all(c, call, F.lit(1)), F.regexp_extract_all(c, call, F.lit(2)), one)
+    between = F.split(c, _CALL.pattern)
+    native = F.array_join(F.zip_with(between, calls, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return _either(c, c.rlike(_USUAL) & ~c.rlike(_TINY), native, f, scale)
+
+
+def scale_transform(c: Column, scale: Column) -> Column:
+    return _transform(c, lambda t, s: transform_mapped(t, lambda v: round(v * s, 1)), scale, lambda v: fixed(v * scale, 1))
+
+
+def unscale_transform(c: Column, scale: Column) -> Column:
+    native = _transform(c, lambda t, s: transform_mapped(t, lambda v: round(v / s, 2)) if s else t, scale, lambda v: _two(v / F.nullif(scale, F.lit(0.0))))
+    return F.when(scale == 0, c).otherwise(native)
+
+
+def _style(c: Column, number: Callable[[Column], Column]) -> Column:
+    """Declarations as an array; only those of a length of font-size or stroke-width change."""
+    items = F.filter(F.transform(F.split(c, ";"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    pattern = r"(?i)^(font-size|stroke-width)\s*:\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?)\s*(px|rem|em)?$"
+
+    def one(x: Column) -> Column:
+        unit = F.when(F.lower(F.regexp_extract(x, pattern, 3)).isin("em", "rem"), 16.0).otherwise(1.0)
+        v = F.regexp_extract(x, pattern, 2).try_cast("double") * unit
+        return F.when(x.rlike(pattern), F.concat(F.regexp_extract(x, pattern, 1), F.lit(": "), number(v), F.lit("px"))).otherwise(x)
+
+    return F.when(c == "", c).otherwise(F.array_join(F.transform(items, one), "; "))
+
+
+def scale_style(c: Column, scale: Column) -> Column:
+    return _style(c, lambda v: fixed(v * scale, 1))
+
+
+def unscale_style(c: Column, scale: Column) -> Column:
+    return F.when(scale == 0, c).otherwise(_style(c, lambda v: _two(v / F.nullif(scale, F.lit(0.0)))))
 
 
 def scale_points(c: Column, scale: Column) -> Column:

@@ -130,8 +130,8 @@ def reward_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "path_scale_ml",
-    """select l_orderkey, l_linenumber, 'M ' || format('{:.1f}', l_quantity * 0.37) || ' ' || format('{:.1f}', l_extendedprice * 0.37) || ' L ' || format('{:.1f}', l_partkey * 0.37) || ' ' || format('{:.1f}', l_suppkey * 0.37) path,
-        'M ' || format('{:.1f}', l_partkey * 0.37) || ' 0.0 Z M ' || format('{:.1f}', l_suppkey * 0.37) || ' 0.0 l 0.4 0.4' multi from lineitem""",
+    """select l_orderkey, l_linenumber, 'M ' || format('{:.1f}', l_quantity::double * 0.37::double) || ' ' || format('{:.1f}', l_extendedprice::double * 0.37::double) || ' L ' || format('{:.1f}', l_partkey::double * 0.37::double) || ' ' || format('{:.1f}', l_suppkey::double * 0.37::double) path,
+        'M ' || format('{:.1f}', l_partkey::double * 0.37::double) || ' 0.0 Z M ' || format('{:.1f}', l_suppkey::double * 0.37::double) || ' 0.0 l 0.4 0.4' multi from lineitem""",
 )
 def path_scale_ml(spark: SparkSession, d: str) -> DataFrame:
     """Scale paths; the second one starts again after a close, which must not be lost."""
@@ -143,20 +143,27 @@ def path_scale_ml(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "path_unscale_roundtrip",
-    """select l_orderkey, l_linenumber, true as near from lineitem""",
+    """
+    with a as (select l_orderkey, l_linenumber, format('{:.1f}', l_quantity::double * 0.37::double)::double / 0.37::double x, format('{:.1f}', l_suppkey::double * 0.37::double)::double / 0.37::double y, format('{:.1f}', 5 * 0.37::double)::double / 0.37::double r from lineitem),
+    f as (select l_orderkey, l_linenumber, regexp_replace(format('{:.2f}', x), '0$', '') x, regexp_replace(format('{:.2f}', y), '0$', '') y, regexp_replace(format('{:.2f}', r), '0$', '') r from a)
+    select l_orderkey, l_linenumber, 'M ' || x || ' ' || y as line, 'M ' || x || ' 0.0 A ' || r || ' ' || r || ' 30.0 0 1 ' || y || ' ' || x || ' a ' || r || ' ' || r || ' 0.0 1 0 ' || x || ' ' || y as arcs,
+        'C ' || x || ' ' || y || ' ' || x || ' ' || y || ' ' || x || ' ' || y || ' S ' || x || ' ' || y || ' ' || y || ' ' || x || ' q ' || x || ' ' || y || ' ' || x || ' ' || y || ' T ' || y || ' ' || x || ' H ' || x || ' v ' || y || ' Z' as curves from f""",
 )
 def path_unscale_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Scaling and its inverse: coordinates come back within rounding (0.05 / scale + 0.005)."""
-    path = F.concat(F.lit("M "), F.col("l_quantity").cast("string"), F.lit(" "), F.col("l_suppkey").cast("string"))
-    back = G.unscale_path(G.scale_path(path, F.lit(0.37)), F.lit(0.37))
-    parts = F.split(back, " ")
-    near = (F.abs(parts[1].cast("double") - F.col("l_quantity")) <= 0.05 / 0.37 + 0.0051) & (F.abs(parts[2].cast("double") - F.col("l_suppkey")) <= 0.05 / 0.37 + 0.0051)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", near.alias("near"))
+    """Scaling and its inverse: what scaling rounds to one decimal comes back to two. All commands; flags stick."""
+    x, y = F.col("l_quantity").cast("string"), F.col("l_suppkey").cast("string")
+    join = lambda *p: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in p])
+    line = join("M ", x, " ", y)
+    arcs = join("M", x, " 0A5 5 30 01", y, ",", x, "a5,5,0 10", x, " ", y, " 7")
+    curves = join("C", x, " ", y, ",", x, " ", y, ",", x, " ", y, "S", x, " ", y, " ", y, " ", x, "q", x, ",", y, ",", x, ",", y, " 1T", y, " ", x, "H", x, "v", y, "Z")
+    s = F.lit(0.37)
+    back = lambda p: G.unscale_path(G.scale_path(p, s), s)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", back(line).alias("line"), back(arcs).alias("arcs"), back(curves).alias("curves"))
 
 
 @query(
     "transform_scale",
-    """select l_orderkey, l_linenumber, 'translate(' || format('{:.1f}', l_quantity * 0.5) || ', ' || format('{:.1f}', l_suppkey * 0.5) || ') rotate(' || format('{:.1f}', l_quantity) || ', ' || format('{:.1f}', l_partkey * 0.5) || ', 0.0)' scaled from lineitem""",
+    """select l_orderkey, l_linenumber, 'translate(' || format('{:.1f}', l_quantity::double * 0.5::double) || ', ' || format('{:.1f}', l_suppkey::double * 0.5::double) || ') rotate(' || format('{:.1f}', l_quantity) || ', ' || format('{:.1f}', l_partkey::double * 0.5::double) || ', 0.0)' scaled from lineitem""",
 )
 def transform_scale(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("translate("), F.col("l_quantity").cast("string"), F.lit(","), F.col("l_suppkey").cast("string"), F.lit(") rotate("), F.col("l_quantity").cast("string"), F.lit("deg "), F.col("l_partkey").cast("string"), F.lit(" 0)"))
@@ -165,7 +172,7 @@ def transform_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "style_scale",
-    """select p_partkey, 'font-size: ' || format('{:.1f}', p_size * 16.0 * 0.25) || 'px; fill: red; stroke-width: ' || format('{:.1f}', p_size * 0.25) || 'px; stroke-width: thin' style from part""",
+    """select p_partkey, 'font-size: ' || format('{:.1f}', p_size::double * 16.0 * 0.25::double) || 'px; fill: red; stroke-width: ' || format('{:.1f}', p_size::double * 0.25::double) || 'px; stroke-width: thin' style from part""",
 )
 def style_scale(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size").cast("string")
@@ -175,7 +182,7 @@ def style_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "points_scale",
-    """select o_orderkey, format('{:.1f}', o_orderkey * 0.25) || ',' || format('{:.1f}', o_custkey * 0.25) || ' ' || format('{:.1f}', o_custkey * 0.25) || ',0.0' points from orders""",
+    """select o_orderkey, format('{:.1f}', o_orderkey::double * 0.25::double) || ',' || format('{:.1f}', o_custkey::double * 0.25::double) || ' ' || format('{:.1f}', o_custkey::double * 0.25::double) || ',0.0' points from orders""",
 )
 def points_scale(spark: SparkSession, d: str) -> DataFrame:
     points = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" 0 77"))

@@ -44,7 +44,7 @@ def with_both(charts: DataFrame, images: DataFrame) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """id and text of every file below a folder, one row a file; the id is the first group of the pattern in the path."""
-    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return found.select(F.col("_metadata.file_path").alias("path"), "value").select(_file(pattern).alias("id"), F.col("value").alias("text"))
 
 
