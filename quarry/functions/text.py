@@ -6,6 +6,7 @@ Java: $1 for groups, (?s) for dots that match line breaks, ASCII classes unless
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -273,3 +274,43 @@ def repeat_penalty(c: Column, floor: float = 0.8, weight: float = 0.5) -> Column
     n, u = F.size(tags), F.size(F.array_distinct(tags))
     penalty = F.when(n > 0, F.greatest(F.lit(floor), 1.0 - weight * (n - u) / n)).otherwise(1.0)
     return F.struct(n.cast("long").alias("tags"), u.cast("long").alias("unique_tags"), penalty.alias("penalty"))
+
+
+def balanced_svg(c: Column) -> Column:
+    """From the first <svg to the </svg> that closes it, nested ones counted; null where none does."""
+    own = F.substring(c, F.instr(c, "<svg"), F.length(c))
+    tags, gaps = every(own, "<svg|</svg>"), F.split(own, "<svg|</svg>")
+    steps = F.zip_with(tags, F.slice(gaps, 1, F.size(tags)), lambda t, g: F.struct(F.when(t == "<svg", 1).otherwise(-1).alias("way"), (F.length(g) + F.length(t)).alias("n")))
+
+    def step(s: Column, x: Column) -> Column:
+        depth, at = s["depth"] + x["way"], s["at"] + x["n"]
+        return F.when(s["end"] > 0, s).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when(depth == 0, at).otherwise(0).alias("end")))
+
+    end = F.aggregate(steps, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")), step)["end"]
+    return F.when((F.instr(c, "<svg") > 0) & (end > 0), strip(F.substring(own, F.lit(1), end)))
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A template with {name} replaced by columns; null where one of them is null."""
+    out, parts = template, []
+    for name in re.findall(r"\{(\w+)\}", template):
+        before, _, out = out.partition("{" + name + "}")
+        parts += [F.lit(before), values[name].cast("string")]
+    return F.concat(*parts, F.lit(out))
+
+
+def chat_text(messages: Column, ask: bool = True) -> Column:
+    """Messages as one text with marks around each turn, and with `ask` the opening of the answer."""
+    turn = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n")))
+    return F.concat(F.array_join(turn, ""), F.lit("<|im_start|>assistant\n" if ask else ""))
+
+
+def tagged_json(c: Column, tag: str, schema: str) -> Column:
+    """The objects in the lines of the first section of a tag; lines that are no such JSON are null."""
+    body = strip(F.regexp_extract(c, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return F.when(c.contains(f"<{tag}>"), F.transform(F.split(body, "\n"), lambda x: F.from_json(x, schema)))
+
+
+def shared_pairs(a: Column, b: Column) -> Column:
+    """How many keys of one map have an equal value in another."""
+    return F.size(F.map_filter(a, lambda k, v: F.try_element_at(b, k) == v))

@@ -278,10 +278,3 @@ def content_bbox(spark: SparkSession, d: str) -> DataFrame:
 def centroid_init(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return e.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("mean"), F.count("*").alias("n"))
-
-
-@query("windowed_ssim")
-def windowed_ssim(spark: SparkSession, d: str) -> DataFrame:
-    """Structural similarity over 7 x 7 windows of 8 x 8 images, and the blurred, dilated and cropped reward metrics."""
-    pairs = metrics.neighbour_pairs(read(spark, d, "embeddings"))
-    return metrics.image_scores(pairs, "x", "y", (8, 8), keep=("a", "b"))
