@@ -16,12 +16,14 @@ from .base import columns, mix64, powers, stage, utf8
 #: Bytes of a string that counts as repeated, and of the grams that anchor its windows.
 LENGTH, GRAM = 200, 64
 #: Windows of a batch of the index, about, and windows from which a family ends with the anchor.
-BATCH, HELD = 1 << 18, 1 << 22
+BATCH, HELD = 1 << 16, 1 << 20
 #: Suffixes of one array that are written out at a time while two are scanned.
-_PART = 1 << 14
+_PART = 1 << 13
 #: Contexts of one anchor beyond which its windows are dealt out one by one.
 HOT = 100_000
-_STEP = 1 << 19
+_STEP = 1 << 17
+#: Bytes of texts that are read at a time.
+_SOME = 1 << 22
 _U = np.uint64
 _BYTE = mix64(np.arange(7001, 7257, dtype=_U))
 _LOW = _U((1 << 20) - 1)
@@ -85,9 +87,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        row, first, count, g, c = anchors(data, offsets)
-        r = batch.column("r").take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), r, pa.array(first, pa.int32()), pa.array(count.astype(np.int32))], ["a", "c", "r", "first", "count"])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SOME, "right")) - 1)
+            row, first, count, g, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            r = batch.column("r").take(pa.array(row + i))
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), r, pa.array(first, pa.int32()), pa.array(count.astype(np.int32))], ["a", "c", "r", "first", "count"])
+            i = j
 
 
 class Level:
@@ -249,8 +255,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = offsets[row] + first
         ends = begin + count + LENGTH - 1
         fits = ends <= offsets[row + 1]  # else another text has the same hash
-        for i in range(0, len(row), 20_000):
-            j = min(len(row), i + 20_000)
+        for i in range(0, len(row), 4_000):
+            j = min(len(row), i + 4_000)
             keep = np.flatnonzero(fits[i:j]) + i
             size = ends[keep] - begin[keep]
             idx = np.repeat(begin[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
