@@ -70,25 +70,47 @@ def hash_split(key: Column, test_share: float = 0.1) -> Column:
     return F.when(T.stable_hash(key) % 1000 < int(test_share * 1000), "test").otherwise("train")
 
 
-def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", parts: int = 64) -> DataFrame:
-    """Row numbers from 0 over a total order of all rows, without a window over the whole table.
+#: Rows that one range of a total order holds, about.
+RANGE = 500_000
+
+
+def _ranges(df: DataFrame, order: Sequence[str], size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """The rows dealt by range of a total order and written with their range's number, and the count of each range.
 
-    Rows are dealt by range; counts of the ranges, one row each, give the offsets.
+    Both ranks and offsets are taken from what is written, so they fit whatever a later run of the plan would do.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    counts = dealt.groupBy("__p").agg(F.count("*").alias("n"))
-    counts = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("before"))
+    from quarry.sinks import scratch
+
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // size))
+    path = scratch(spark, "ranges")
+    df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    return dealt, dealt.groupBy("__p").agg(F.count("*").alias("n"))
+
+
+def _numbered(dealt: DataFrame, counts: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    before = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("before"))  # a row for each range
     inner = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1)
-    return inner.join(F.broadcast(counts), "__p").withColumn(name, (F.col("before") + F.col("__k")).cast("long")).drop("__p", "__k", "before")
+    return inner.join(before, "__p").withColumn(name, (F.col("before") + F.col("__k")).cast("long")).drop("__p", "__k", "before")
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", size: int = RANGE) -> DataFrame:
+    """Row numbers from 0 over a total order of all rows, without a window over the whole table.
+
+    Rows are dealt by range, more of them for more rows; counts of the ranges, one row each, give the offsets.
+    """
+    return _numbered(*_ranges(df, order, size), order, name)
 
 
 def contiguous_shards(df: DataFrame, order: Sequence[str], shards: int) -> DataFrame:
     """Runs of the order of nearly equal size, the larger first, as ntile gives."""
-    total = df.count()
+    dealt, counts = _ranges(df, order)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     q, r = divmod(total, shards)
     rank = F.col("rank")
     late = F.lit(r) + F.floor((rank - r * (q + 1)) / F.lit(max(q, 1)))
-    return ranked(df, order).withColumn("shard", F.when(rank < r * (q + 1), F.floor(rank / (q + 1))).otherwise(late).cast("long"))
+    return _numbered(dealt, counts, order, "rank").withColumn("shard", F.when(rank < r * (q + 1), F.floor(rank / (q + 1))).otherwise(late).cast("long"))
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:

@@ -243,9 +243,9 @@ def sync_repaired(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lower("source")).otherwise(F.upper("source")).alias("svg"))
 
 
-@query("id_union", "select doc_id from documents where doc_id % 2 = 0 union select doc_id from labels")
+@query("id_union", "select page_id id from pages union select doc_id from labels")
 def id_union(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id").union(read(spark, d, "labels").select("doc_id")).distinct()
+    return read(spark, d, "pages").select(F.col("page_id").alias("id")).union(read(spark, d, "labels").select("doc_id")).distinct()
 
 
 @query("vocab_ops", """

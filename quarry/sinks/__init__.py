@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,10 +15,26 @@ from pyspark.sql import functions as F
 from quarry.operators.records import last_wins, output_name
 
 
+_own: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir), else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir, else the context's own.
+
+    Where neither is set, a folder of ours if executors are threads of the driver, as in tests, else the warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="quarry-"))
+        base = _own[0]
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
 
 
 def write_charts(df: DataFrame, path: str, by: Sequence[str] = ("dataset",)) -> None:
