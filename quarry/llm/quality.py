@@ -16,7 +16,10 @@ from .base import columns, span_hashes, stage, utf8, words
 SAMPLE = 6_000
 THRESHOLD = 0.7
 BINS = 6
-ROUNDS = 160
+#: Steps of the fit: first on lines that bear their document's label, then on labels of their own.
+ROUNDS, FIRST, EVERY = 160, 40, 8
+#: A good document has at least this share of its bytes in good lines, a bad one at most the rest.
+SHARE = 0.7
 _CHUNK = 1 << 21
 
 _CLASSES = {
@@ -199,11 +202,38 @@ def binned(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def bagged(score: np.ndarray, of: np.ndarray, move: np.ndarray, size: np.ndarray, good: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Line marginals and expected moves of the labellings nearest to the model's that agree with the documents' labels.
+
+    The length-weighted mean of a good document's marginals is at least `share`, that of a bad one at most 1 - `share`.
+    Of all distributions that keep this, the one nearest in relative entropy adds to each line's evidence a multiple of
+    its length, one number for each document; it is 0 where the model keeps it already, else found by bisection.
+    """
+    first, _ = _span(of)
+    total = np.add.reduceat(size, first)
+    weight = size / np.maximum.reduceat(size, first)[of]
+    sign = np.where(good > 0, 1.0, -1.0)
+    mean = lambda q: np.add.reduceat(q * size, first) / total
+    kept = lambda m: sign * (m - 0.5) >= share - 0.5
+    lo, hi = np.zeros(len(first)), np.full(len(first), 60.0)
+    hi[kept(mean(marginals(score, of, move)[0]))] = 0.0
+    for _ in range(12):
+        mid = (lo + hi) / 2
+        ok = kept(mean(marginals(score + (sign * mid)[of] * weight, of, move)[0]))
+        lo, hi = np.where(ok, lo, mid), np.where(ok, mid, hi)
+    q, moves, _ = marginals(score + (sign * hi)[of] * weight, of, move, pairs=True)
+    assert moves is not None
+    return q, moves
+
+
 def fit_chain(raw: np.ndarray, size: np.ndarray, of: np.ndarray, good: np.ndarray, prior: float, ridge: float = 2e-3) -> Model:
-    """Fit on documents whose lines all bear the document's label; rows of `of` are numbered from 0.
+    """Fit on documents of known label whose lines have labels of their own, not known; rows of `of` are numbered from 0.
 
-    Likelihood by full-batch Adam, no randomness. The mean of the marginals, weighted by length, is then calibrated by
-    a logistic curve in which the two classes weigh as in the labels (`prior`: the share of good ones).
+    For the FIRST steps all lines bear the document's label. From then on the labels of lines are those that the model
+    itself thinks likeliest among all that the document's label allows (see bagged), found anew EVERY steps; so a good
+    document may hold bad lines and moves between the two are learned. Likelihood by full-batch Adam, no randomness.
+    The mean of the marginals, weighted by length, is then calibrated by a logistic curve in which the two classes weigh
+    as in the labels (`prior`: the share of good ones).
     """
     edges = np.stack([np.quantile(raw[:, k], np.arange(1, BINS) / BINS) for k in range(N_RAW)])
     edges[12:14] = np.linspace(0.5, 0.9, BINS - 1)
@@ -216,8 +246,11 @@ def fit_chain(raw: np.ndarray, size: np.ndarray, of: np.ndarray, good: np.ndarra
     p = np.zeros(d + 5)
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, ROUNDS + 1):
-        score = x @ p[:d].astype(np.float32) + p[d]
-        q, expected, _ = marginals(score.astype(np.float64), of, p[d + 1 :].reshape(2, 2), pairs=True)
+        score = (x @ p[:d].astype(np.float32) + p[d]).astype(np.float64)
+        move = p[d + 1 :].reshape(2, 2)
+        if t > FIRST and (t - FIRST) % EVERY == 1:
+            y, seen = bagged(score, of, move, size, good)
+        q, expected, _ = marginals(score, of, move, pairs=True)
         g = np.r_[x.T @ (q - y).astype(np.float32), (q - y).sum(), (expected - seen).ravel()] / n + ridge * p
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
