@@ -194,12 +194,28 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- connected components -----------------------------------------------------------------------------------------
 
 
+#: A node's links are dealt to so many tasks where they meet its least neighbour.
+SALT = 16
+
+
+def _meet(links: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """Links (u, v) with m, the least neighbour of the node in `key`, or null.
+
+    The least ones, one row a node, come SALT times, and links are dealt by both ends; so a node that very many link to
+    is not one task's.
+    """
+    other = "v" if key == "u" else "u"
+    salted = least.select(F.col("u").alias("w"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
+    dealt = links.withColumn("t", F.pmod(F.xxhash64(other), F.lit(SALT)).cast("int"))
+    return dealt.join(salted, (F.col(key) == F.col("w")) & (F.col("t") == F.col("s")), "left").select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the links in the first two columns (long).
 
-    Alternates large-star and small-star steps, each a min by key (combined before the shuffle) and a join back that
-    adaptive execution can split; the links shrink to stars in a number of rounds logarithmic in the longest path.
-    Nodes without a link to another node do not appear.
+    Alternates large-star and small-star steps over links (u, v) with u > v, each a min by node (combined before the
+    shuffle) and a join back (see _meet); the links shrink to stars in a number of rounds logarithmic in the longest
+    path. Nodes without a link to another node do not appear.
     """
     a, b = edges.columns[:2]
     now = checkpoint(
@@ -207,12 +223,12 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(most):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large star: each larger neighbour of v links to the least of v and its neighbours.
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = _meet(now, "v", least).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # Small star: u and all of its smaller neighbours link to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _meet(large, "u", least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         got = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if got == seen:
