@@ -314,8 +314,9 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     texts = columns(docs, ["doc_id", "text"]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("r"), "text")
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchored, "a bigint, c bigint, r bigint, first int, count int")
-    shared = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    places = stage(found.hint("merge").join(shared, "a", "left_semi"), "anchors")
+    # Written, so that both sides of the join come straight from a shuffle and a frequent anchor can be split.
+    shared = stage(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "shared")
+    places = stage(found.hint("merge").join(shared.hint("merge"), "a", "left_semi"), "anchors")
     contexts = places.groupBy("a", "c").agg(F.min(F.struct("r", "first", "count")).alias("at"), F.count("*").alias("n"))
     contexts = contexts.select("a", "c", "n", F.col("at.r").alias("r"), F.col("at.first").alias("first"), F.col("at.count").alias("count"))
     crowded = contexts.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("a")
