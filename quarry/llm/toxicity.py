@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +15,9 @@ from .base import columns, lower_ascii, span_hashes, stage, utf8, words
 
 #: Labelled documents that the model is fitted on, at most; those with the least hashes of their ids.
 SAMPLE = 12_000
-#: Words that become features, at most: those whose presence depends most on the label.
-FEATURES = 1_024
-#: Documents of the sample that a word must be in to become a feature.
-LEAST = 4
+#: A word is a feature if it is in so many documents of the sample and its presence depends on the label by more than
+#: chance: so many standard deviations. There may be any number of them.
+LEAST, CHANCE = 4, 4.0
 GRADES = 4
 REJECT = 0.5
 
@@ -62,12 +62,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing cuts by likelihood; x: dense rows of features, y: grades from 0.
+def fit_ordinal(x: np.ndarray | tuple[np.ndarray, np.ndarray, int], y: np.ndarray, grades: int, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing cuts by likelihood; y: grades from 0.
 
-    cuts[0] and the logarithms of the gaps between cuts are free, so the order holds. Full-batch Adam, no randomness.
+    x: rows of features, or for features that are there or not, the row and number of each one that is, by row, and how
+    many features there are. cuts[0] and the logarithms of the gaps between cuts are free, so the order holds.
+    Full-batch Adam, no randomness.
     """
-    n, d = x.shape
+    n = len(y)
+    if isinstance(x, tuple):
+        row, col, d = x
+        forward, back = lambda w: np.bincount(row, w[col], n), lambda s: np.bincount(col, s[row], d)
+    else:
+        d = x.shape[1]
+        forward, back = lambda w: x @ w, lambda s: x.T @ s
     p = np.zeros(d + grades - 1)
     base = np.clip(np.mean(y > 0), 1e-3, 1 - 1e-3)
     p[d] = np.log((1 - base) / base)
@@ -75,7 +83,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3,
     for t in range(1, rounds + 1):
         gaps = np.exp(np.clip(p[d + 1 :], -8, 3))
         cuts = p[d] + np.r_[0, np.cumsum(gaps)]
-        s = x @ p[:d]
+        s = forward(p[:d])
         # P(y) = F(upper) - F(lower) with F the logistic distribution at cut - s
         top, low = np.r_[cuts, np.inf][y], np.r_[-np.inf, cuts][y]
         fu, fl = np.where(np.isinf(top), 1.0, _sigmoid(np.where(np.isinf(top), 0, top) - s)), np.where(np.isinf(low), 0.0, _sigmoid(np.where(np.isinf(low), 0, low) - s))
@@ -83,19 +91,39 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3,
         du, dl = fu * (1 - fu) / prob, fl * (1 - fl) / prob
         ds = (du - dl) / n  # of the negative log-likelihood by s
         dcut = np.array([(-(du * (y == k)).sum() + (dl * (y == k + 1)).sum()) / n for k in range(grades - 1)])
-        g = np.r_[x.T @ ds + ridge * p[:d], dcut.sum(), [dcut[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]]
+        g = np.r_[back(ds) + ridge * p[:d], dcut.sum(), [dcut[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     gaps = np.exp(np.clip(p[d + 1 :], -8, 3))
     return p[:d], p[d] + np.r_[0, np.cumsum(gaps)]
 
 
+def graded(row: np.ndarray, col: np.ndarray, d: int, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grades from labels that only say toxic or not: 0, and 1 up to `grades` - 1 by how toxic others make a text look.
+
+    The sample is cut in two; each half's texts are scored by a model of the two classes that is fitted on the other
+    half, so no text has a say in its own grade. Toxic texts are then cut at quantiles of that score, in either half.
+    """
+    half = np.arange(len(toxic)) % 2
+    y = toxic.astype(np.int64)
+    for k in (0, 1):
+        own = np.flatnonzero((half == k) & (toxic == 1))
+        other = half != k
+        if not len(own) or not toxic[other].any():
+            continue
+        number = np.cumsum(other) - 1
+        kept = other[row]
+        weights, _ = fit_ordinal((number[row[kept]], col[kept], d), toxic[other].astype(np.int64), 2, rounds=200)
+        score = np.bincount(row, weights[col], len(toxic))[own]
+        y[own] = 1 + np.searchsorted(np.quantile(score, np.arange(1, grades - 1) / (grades - 1)), score, "left")
+    return y
+
+
 def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents: half toxic ones, as far as there are so many.
 
-    The labels only say toxic or not. A toxic text's grade (1 up to `grades` - 1) is set from the number of different
-    words of the sample's toxic vocabulary in it, cut at quantiles among toxic texts: like the score, it grows with each. The sampled words' hashes, not texts,
-    come to the driver; words below LEAST documents are dropped there by counts over the whole sample.
+    Grades come from `graded`. Counts of words are taken over the whole sample; of the sampled texts only which features
+    they have come to the driver, as numbers.
     """
     labels = columns(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic is not null")
     half = sample // 2
@@ -110,45 +138,45 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
             first = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
-            count = np.bincount(row, minlength=batch.num_rows)
             h, row = h[first], row[first]
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(h))], ["doc_id", "toxic", "n", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(at), pa.array(h))], ["doc_id", "toxic", "h"])
 
-    held = stage(rows.mapInArrow(run, "doc_id bigint, toxic int, n bigint, h array<bigint>"), "toxic-sample")
+    held = stage(rows.mapInArrow(run, "doc_id bigint, toxic int, h array<bigint>"), "toxic-sample")
     of = held.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, n1 = int(of[0]), int(of[1])
     if not n1 or n1 == n:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 30.0 if not n1 else -30.0) + np.arange(grades - 1))
-    # Association of each word with the label: (signed root of) chi-square with smoothed counts; the strongest are kept.
     count = held.select("toxic", F.explode("h").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("c")).where(F.col("c") >= LEAST)
     a, b = F.col("t") / n1, (F.col("c") - F.col("t")) / (n - n1)
     mean = F.col("c") / n
     z = F.abs(a - b) / F.sqrt(mean * (1 - mean + 1e-9) * (1 / n1 + 1 / (n - n1)))
-    best = count.select("w", (F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") - F.col("t") + 0.5) / (n - n1 + 1))).alias("lift"), z.alias("z")).where("z > 4").orderBy(F.desc("z"), "w").limit(FEATURES).collect()
-    hashes = np.array(sorted(r.w for r in best), np.int64)
-    lift = {r.w: r.lift for r in best}
-    kept = F.filter("h", lambda w: F.array_contains(F.array(*[F.lit(int(w_)) for w_ in hashes]), w)) if len(hashes) <= 256 else F.array_intersect("h", F.array(*[F.lit(int(w_)) for w_ in hashes]))
-    got = held.select("doc_id", "toxic", "n", kept.alias("h")).orderBy("doc_id").collect() if len(hashes) else []
-    x = np.zeros((len(got), len(hashes)), np.float64)
-    rate = np.zeros(len(got))
-    for i, r in enumerate(got):
-        x[i, np.searchsorted(hashes, np.array(r.h, np.int64))] = 1.0
-        rate[i] = sum(lift[w] > 1 for w in r.h)
-    y = np.array([r.toxic for r in got], np.int64)
+    hashes = np.sort(np.asarray(count.where(z > CHANCE).select("w").toArrow()["w"]).astype(np.int64))
     if not len(hashes):
         return Model(hashes, np.zeros(0), np.full(grades - 1, 30.0) + np.arange(grades - 1))
-    toxic = np.flatnonzero(y == 1)
-    steps = np.quantile(rate[toxic], np.arange(1, grades - 1) / (grades - 1))
-    y[toxic] = 1 + np.searchsorted(steps, rate[toxic], "left")
-    weights, cuts = fit_ordinal(x, y, grades)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, many = np.asarray(batch.column("h").flatten()), np.asarray(pa.compute.list_value_length(batch.column("h")))
+            at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+            hit = hashes[at] == flat
+            cut = np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(many)]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32)))], ["doc_id", "toxic", "f"])
+
+    got = held.mapInArrow(known, "doc_id bigint, toxic int, f array<int>").orderBy("doc_id", F.hash("f")).toArrow()
+    toxic = np.asarray(got["toxic"]).astype(np.int64)
+    lists = got["f"].combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), np.asarray(pa.compute.list_value_length(lists)))
+    col = np.asarray(lists.flatten()).astype(np.int64)
+    y = graded(row, col, len(hashes), toxic, grades)
+    weights, cuts = fit_ordinal((row, col, len(hashes)), y, grades)
     return Model(hashes, weights, cuts)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, severity (the expected grade), p_toxic (of any grade above 0), grade (the likeliest), rejected.
 
-    One pass without a shuffle; the model, at most FEATURES words, goes out with the code. Null and empty texts have
+    One pass without a shuffle; the model goes out with the code. Null and empty texts have
     no words and get the score of that; repeated rows and null ids are scored as any other; an empty table gives an
     empty result.
     """
@@ -166,7 +194,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model, fitted on `labels`, does not reject, whatever their columns are called."""
+    """The documents that the model, fitted on `labels`, does not reject; all columns, whatever they are called.
+
+    Null and empty texts have no words and stay; repeated rows and null ids are judged as any other; of several columns
+    named text the first counts; without toxic labels all stay; an empty table gives an empty result.
+    """
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
