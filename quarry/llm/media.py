@@ -54,7 +54,8 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     The short-time Fourier transform takes frames of FRAME samples every HOP, the last padded with the zero level, a
     block of frames at a time, so memory stays bounded however long the sound is. Each frame has its strongest bin in
     each of BANDS; a bin counts as a peak if its magnitude is above the frame's mean. A peak pairs with the peaks in
-    the same band up to AHEAD frames later: code = (bin, later bin, frames between) and time = the earlier frame.
+    the same band up to AHEAD frames later, and with that of the next higher band in its own frame, so that sounds of
+    one frame have pairs too: code = (bin, other bin, frames between) and time = the earlier frame.
     """
     n = len(samples)
     frames = max(1, -(-max(0, n - FRAME) // HOP) + 1)
@@ -73,15 +74,14 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
         bins.append(top.astype(np.int32))
         strong.append(np.take_along_axis(size, top, 1) > mean[:, None])
     peak, ok = np.concatenate(bins), np.concatenate(strong)
-    codes, times = [], []
+    t, k = np.nonzero(ok[:, :-1] & ok[:, 1:])
+    codes, times = [(peak[t, k] << 16) | (peak[t, k + 1] << 4)], [t.astype(np.int32)]
     for d in range(1, AHEAD + 1):
         if frames <= d:
             break
         t, k = np.nonzero(ok[:-d] & ok[d:])
         codes.append((peak[t, k] << 16) | (peak[t + d, k] << 4) | d)
         times.append(t.astype(np.int32))
-    if not codes:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     code, time = np.concatenate(codes).astype(np.int32), np.concatenate(times)
     order = np.lexsort((code, time))
     return code[order], time[order]

@@ -37,8 +37,7 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.described(media.media_columns(table(spark, sf_dir, "documents")))
-    return found.drop("fingerprint_code", "fingerprint_time")
+    return media.described(media.media_columns(table(spark, sf_dir, "documents")))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

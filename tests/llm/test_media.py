@@ -39,6 +39,39 @@ def test_columns_equal_recomputation(spark):
     assert len({rows[i].feature for i in (1, 5, 6, 8)}) == 4
 
 
+def plain_fingerprint(samples):
+    """Frame by frame by the definition of the transform, pairs by loops."""
+    import numpy as np
+
+    n, window = len(samples), np.hanning(media.FRAME)
+    peaks = []
+    for lo in range(0, max(1, n - media.FRAME + media.HOP), media.HOP):
+        frame = [samples[i] - 128 if i < n else 0 for i in range(lo, lo + media.FRAME)]
+        size = np.abs(np.fft.rfft(np.array(frame) * window))
+        top = [a + int(np.argmax(size[a:b])) for a, b in media.BANDS]
+        peaks.append([(k if size[k] > size.mean() else None, size) for k in top])
+        if lo + media.FRAME >= n:
+            break
+    pairs = []
+    for t, own in enumerate(peaks):
+        for band, (k, _) in enumerate(own):
+            if k is None:
+                continue
+            if band + 1 < len(own) and own[band + 1][0] is not None:
+                pairs.append((t, (k << 16) | (own[band + 1][0] << 4)))
+            pairs += [(t, (k << 16) | (peaks[t + d][band][0] << 4) | d) for d in range(1, media.AHEAD + 1) if t + d < len(peaks) and peaks[t + d][band][0] is not None]
+    return sorted(pairs)
+
+
+def test_fingerprints_equal_recomputation(spark):
+    texts = ["a", "Some words here.", "x" * 64, "The quick brown fox. " * 60, "mixed 123 text, with numbers; " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in media.media_columns(df).collect():
+        want = plain_fingerprint(stored(texts[r.doc_id])[0])
+        assert list(zip(r.fingerprint_time, r.fingerprint_code, strict=True)) == want
+        assert want, texts[r.doc_id]
+
+
 def test_fingerprint_finds_a_tone_and_ignores_blocks(monkeypatch):
     import numpy as np
 
