@@ -17,9 +17,10 @@ from .base import columns, lower_ascii, span_hashes, stage, utf8, words
 SAMPLE = 12_000
 #: A word is a feature if it is in so many documents of the sample and its presence depends on the label by more than
 #: chance: so many standard deviations. There may be any number of them.
-LEAST, CHANCE = 4, 4.0
+LEAST, CHANCE = 2, 3.5
 GRADES = 4
-REJECT = 0.5
+#: Probability of any grade above 0 from which a text is rejected, where texts are as often toxic as among the labels.
+REJECT = 0.2
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[*b".,;:!?\"'()[]{}*#$%&|-_"]] = True
@@ -126,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
     they have come to the driver, as numbers.
     """
     labels = columns(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic is not null")
+    whole = labels.agg(F.count("*"), F.sum(F.col("toxic").cast("int"))).first()
     half = sample // 2
     order = F.xxhash64(F.lit(17), "doc_id")
     chosen = labels.where("toxic = 1").orderBy(order, "doc_id").limit(half).unionAll(labels.where("toxic = 0").orderBy(order, "doc_id").limit(half))
@@ -170,6 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
     col = np.asarray(lists.flatten()).astype(np.int64)
     y = graded(row, col, len(hashes), toxic, grades)
     weights, cuts = fit_ordinal((row, col, len(hashes)), y, grades)
+    # The sample has more toxic texts than the labels where there are many; probabilities are those of the labels.
+    cuts = cuts + np.log(n1 / (n - n1)) - np.log(whole[1] / (whole[0] - whole[1]))
     return Model(hashes, weights, cuts)
 
 
