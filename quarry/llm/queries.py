@@ -91,4 +91,23 @@ ORACLE_SQL: dict[str, str] = {
             vec_id is not distinct from c as kept
         from v join component using (r)
     """,
+    "op8_minhash": r"""
+        with recursive words as (
+            select row_number() over () as r, doc_id,
+                regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), sets as (
+            select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+            from words
+        ), each as (select r, unnest(s) as x from sets),
+        shared as (select a.r as a, b.r as b, count(*) as n from each a join each b on a.x = b.x and a.r < b.r group by all),
+        pairs as (
+            select a, b from shared join sets p on p.r = a join sets q on q.r = b where 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+        ), links as (select a, b from pairs union all select b, a from pairs),
+        reach(r, s) as (select r, r from sets union select reach.r, links.b from reach join links on reach.s = links.a),
+        component as (select reach.r, min(sets.doc_id) as c from reach join sets on sets.r = reach.s group by reach.r)
+        select doc_id, len(s)::bigint as n_shingles, c as component_id, doc_id is not distinct from c as kept
+        from sets join component using (r)
+    """,
 }
