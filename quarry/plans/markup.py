@@ -95,9 +95,16 @@ def invalid_value_removal(spark: SparkSession, d: str) -> DataFrame:
     return tree.edited(p, "svg", [tree.drop_invalid_values]).select("p_partkey", "svg", "repaired")
 
 
-@query("page_nodes")
+@query(
+    "page_nodes",
+    r"""
+    with p as (select page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)(<(script|style)\b[^>]*>).*?</(script|style)>', '\1', 'g') h from pages),
+    e as (select page_id, lower(unnest(regexp_extract_all(h, '<([A-Za-z][^\s/>]*)', 1))) tag from p),
+    n as (select page_id, tag, count(*) n from e group by all)
+    select tag, sum(n)::bigint n, count(*)::bigint n_pages from n group by tag""",
+)
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Elements of whole web pages, mostly not well-formed, by tag: how many, in how many pages, how deep."""
+    """Elements of whole web pages, mostly not well-formed, by tag: how many, and in how many pages."""
     found = tree.nodes(read(spark, d, "pages"), "page_id", "html")
-    per = found.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
-    return per.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"), F.max("depth").alias("deepest"))
+    per = found.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
+    return per.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"))
