@@ -110,11 +110,29 @@ def crop_to_content(x: np.ndarray, y: np.ndarray, below: float = 250.0) -> tuple
     return x[r0 : r1 + 1, c0 : c1 + 1], y[r0 : r1 + 1, c0 : c1 + 1]
 
 
-def resized(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Nearest neighbour; finer resampling filters need an image library, which is not here."""
-    rows = np.minimum((np.arange(shape[0]) + 0.5) * a.shape[0] / shape[0], a.shape[0] - 1).astype(int)
-    cols = np.minimum((np.arange(shape[1]) + 0.5) * a.shape[1] / shape[1], a.shape[1] - 1).astype(int)
-    return a[rows[:, None], cols]
+def _weights(n: int, m: int, kernel: str) -> np.ndarray:
+    """An m x n matrix that resamples n values to m; the kernel is stretched where there are fewer than before."""
+    reach, shape = {
+        "nearest": (0.5, lambda x: (np.abs(x) <= 0.5) * 1.0),
+        "bilinear": (1.0, lambda x: np.maximum(0.0, 1 - np.abs(x))),
+        "bicubic": (2.0, lambda x: np.where(np.abs(x) < 1, (1.5 * np.abs(x) - 2.5) * x * x + 1, np.where(np.abs(x) < 2, ((-0.5 * np.abs(x) + 2.5) * np.abs(x) - 4) * np.abs(x) + 2, 0.0))),
+        "lanczos": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)),
+    }[kernel]
+    scale = n / m
+    wide = max(scale, 1.0) if kernel != "nearest" else 1.0
+    centre = (np.arange(m) + 0.5) * scale
+    if kernel == "nearest":
+        return np.eye(n)[np.minimum(centre, n - 1).astype(int)]
+    at = np.arange(n) + 0.5
+    inside = (at[None, :] >= centre[:, None] - reach * wide - 0.5) & (at[None, :] <= centre[:, None] + reach * wide + 0.5)
+    w = shape((at[None, :] - centre[:, None]) / wide) * inside
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(a: np.ndarray, shape: tuple[int, int], kernel: str = "nearest") -> np.ndarray:
+    """An image in another size: nearest neighbour, bilinear, bicubic or lanczos, with smoothing where it shrinks."""
+    rows, cols = _weights(a.shape[0], shape[0], kernel), _weights(a.shape[1], shape[1], kernel)
+    return np.tensordot(np.tensordot(rows, a, (1, 0)), cols, (1, 1)) if a.ndim == 2 else np.moveaxis(np.tensordot(np.tensordot(rows, a, (1, 0)), cols, (1, 1)), -1, 1)
 
 
 def psnr(x: np.ndarray, y: np.ndarray) -> float:
@@ -151,3 +169,15 @@ def image_scores(df: DataFrame, x: str, y: str, shape: tuple[int, int], keep: tu
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols + [pa.array(errors, pa.string())], [*keep, *names, "error"])
 
     return kept.mapInArrow(run, schema)
+
+
+def resampled(df: DataFrame, key: str, pixels: str, shape: tuple[int, int], to: tuple[int, int], kernel: str) -> DataFrame:
+    """key and px: gray images, rows of pixels in one array, in another size; an array of another length is null."""
+    kept = df.select(key, pixels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if v is None or len(v) != shape[0] * shape[1] else resized(np.array(v, float).reshape(shape), to, kernel).ravel().tolist() for v in batch.column(pixels).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(made, pa.list_(pa.float64()))], [key, "px"])
+
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, px array<double>")

@@ -1,4 +1,4 @@
-"""The cleaning of charts as one plan: reject, normalize, repair by data set, optimize, audit."""
+"""Charts as one plan: reject, normalize, repair by data set, optimize, audit; then tokens and training records."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-from . import audit, tree
+from . import audit, codec, records, tree
 
 #: Repairs that each data set asks for, in their order; those before the optimizer and those after it.
 REPAIRS: dict[str, Sequence[Callable[[tree.Element], object]]] = {
@@ -78,3 +78,40 @@ def clean(charts: DataFrame, datasets: Sequence[str] = (), column: str = "svg",
     found = audit.audited(seen.mapInArrow(run, schema), column, dataset)
     kept = F.col("state") == "kept"
     return found.select(*names, *[F.when(kept, F.col(c)).alias(c) for c in found.columns if c not in names])
+
+
+STAGES = ("clean", "audit", "encode", "records")
+
+
+def prepared(charts: DataFrame, datasets: Sequence[str] = (), stages: Sequence[str] = STAGES, column: str = "svg", dataset: str = "dataset") -> DataFrame:
+    """Charts of several data sets through the stages asked for, as one plan over all of them.
+
+    A chart that fails stays, with its state (kept, rejected, too long, not encoded), so one data set's failures do not
+    stop another's. `records` gives image (data set and id) and record, for charts that have tokens.
+    """
+    unknown = set(stages) - set(STAGES)
+    if unknown:
+        raise ValueError(f"no stages: {sorted(unknown)}")
+    if "clean" in stages:
+        df = clean(charts, datasets, column, dataset)
+    else:
+        df = (charts.where(F.col(dataset).isin(*datasets)) if datasets else charts).withColumn("state", F.lit("kept"))
+    if "audit" in stages and "clean" not in stages:
+        df = audit.audited(df, column, dataset)
+    if "encode" in stages:
+        plain = T.strip_images(T.strip_xml_declaration(F.col(column)))
+        long = F.length(plain) > records.LENGTH_CAP
+        df = df.withColumn("state", F.when((F.col("state") == "kept") & long, "too long").otherwise(F.col("state")))
+        df = codec.encoded(df.withColumn("__svg", F.when(F.col("state") == "kept", plain)), "__svg").drop("__svg")
+        df = df.withColumn("state", F.when(F.col("tokens") == "", "not encoded").otherwise(F.col("state"))).withColumn("tokens", F.nullif("tokens", F.lit("")))
+    if "records" in stages:
+        name = records.output_name(F.col(dataset))
+        image = F.concat(F.lit("images/"), name, F.lit("/"), F.col("chart_id").cast("string"), F.lit(".png"))
+        df = df.withColumn("record", F.when(F.col("tokens").isNotNull(), records.chat_record(F.col("tokens"), image)))
+    return df
+
+
+def outcome(charts: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """For each data set: charts, those kept, those that failed, and the first id that did."""
+    failed = F.when(F.col("state") != "kept", F.col("chart_id"))
+    return charts.groupBy(dataset).agg(F.count("*").alias("charts"), F.count_if(F.col("state") == "kept").alias("kept"), F.count(failed).alias("failed"), F.min(failed).alias("first_failed"))

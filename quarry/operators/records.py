@@ -136,3 +136,19 @@ def latest(df: DataFrame, name: Column, by: str) -> DataFrame:
     """The name with the largest number after its last dash; names without one count as 0, of equals the last."""
     step = F.coalesce(F.regexp_extract(name, r"-(\d+)$", 1).try_cast("long"), F.lit(0))
     return df.groupBy(by).agg(F.max_by(name, F.struct(step, name)).alias("latest"))
+
+
+def prompt_rows(df: DataFrame, prompts: Sequence[str], debug: bool = False) -> DataFrame:
+    """svg, prompt (the prompt columns, nulls skipped) and source; with `debug` also the prompt columns as a struct."""
+    missing = [c for c in prompts if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    rows = df.select("svg", F.concat_ws(". ", *prompts).alias("prompt"), "source", *([F.struct(*prompts).alias("prompts"), F.length("svg").alias("raw_length")] if debug else []))
+    return rows
+
+
+def scored_pairs(completions: Column, truths: Column) -> Column:
+    """Completions with their truths by place, as many as both have."""
+    n = F.least(F.size(completions), F.size(truths))
+    pairs = F.arrays_zip(F.slice(completions, 1, n).alias("completion"), F.slice(truths, 1, n).alias("truth"))
+    return F.transform(pairs, lambda p: F.struct(p["completion"].alias("completion"), p["truth"].alias("truth")))

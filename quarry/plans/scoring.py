@@ -378,3 +378,104 @@ def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
     svg = F.when(F.col("p_partkey") % 7 == 6, "<!DOCTYPE html><html></html>").otherwise(_join('<svg width="256" height="256"><title>t</title><path class="gfx-ln-path" d="M0 ', F.col("p_size"), '"/></svg>'))
     charts = read(spark, d, "part").select("p_partkey", dataset.alias("dataset"), svg.alias("svg"))
     return pipeline.clean(charts, datasets=("graphiq", "echarts")).select("p_partkey", "dataset", "state", "svg", "canvas_not_512")
+
+
+@query(
+    "training_records",
+    """
+    with a as (select p_partkey k, p_size w, case p_partkey % 2 when 0 then 'graphiq_clean' else 'echarts' end dataset from part),
+    t as (select *, '[<|START_OF_SVG|>][<|viewBox=|>]0 0 512 512[<|width=|>]512[<|height=|>]512[<|rect|>][<|fill=|>]white[<|width=|>]512[<|height=|>]512[<|x=|>]0[<|y=|>]0[<|/rect|>][<|circle|>][<|fill=|>]red[<|r=|>]' || (2 * w) || '[<|/circle|>][<|END_OF_SVG|>]' tokens from a)
+    select k chart_id, case when k % 5 = 4 then 'rejected' else 'kept' end state, case when k % 5 <> 4 then 'images/' || case dataset when 'graphiq_clean' then 'graphiq' else dataset end || '/' || k || '.png' end image, case when k % 5 <> 4 then tokens end answer from t""",
+)
+def training_records(spark: SparkSession, d: str) -> DataFrame:
+    """Charts of two data sets cleaned, encoded and made into chat records; what is no chart stays, with its state."""
+    from quarry.operators import pipeline
+
+    svg = F.when(F.col("p_partkey") % 5 == 4, " <!doctype HTML>x").otherwise(_join('<svg width="256" height="256"><circle r="', F.col("p_size"), '" fill="red"/></svg>'))
+    charts = read(spark, d, "part").select(F.col("p_partkey").alias("chart_id"), _of("p_partkey", F.lit("graphiq_clean"), F.lit("echarts")).alias("dataset"), svg.alias("svg"))
+    found = pipeline.prepared(charts)
+    return found.select("chart_id", "state", F.col("record.images")[0].alias("image"), F.element_at("record.messages", -1)["content"].alias("answer"))
+
+
+@query(
+    "task_report",
+    """
+    select case p_partkey % 2 when 0 then 'graphiq_clean' else 'echarts' end dataset, count(*)::bigint charts, count(*) filter (p_partkey % 5 <> 4)::bigint kept, count(*) filter (p_partkey % 5 = 4)::bigint failed, min(p_partkey) filter (p_partkey % 5 = 4) first_failed from part group by 1""",
+)
+def task_report(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes by data set, over one plan for all of them; without the last stages."""
+    from quarry.operators import pipeline
+
+    svg = F.when(F.col("p_partkey") % 5 == 4, "<svg><g></svg>").otherwise("<svg/>")
+    charts = read(spark, d, "part").select(F.col("p_partkey").alias("chart_id"), _of("p_partkey", F.lit("graphiq_clean"), F.lit("echarts")).alias("dataset"), svg.alias("svg"))
+    return pipeline.outcome(pipeline.prepared(charts, stages=("encode",)))
+
+
+@query(
+    "zipped_truths",
+    """
+    with m as (select conv_id, list("text" order by turn) t, list(role order by turn) r from conversations group by conv_id)
+    select conv_id, k::int as place, t[k] completion, r[k] truth from (select conv_id, t, r, unnest(range(1, least(len(t), 3) + 1)) k from m)""",
+)
+def zipped_truths(spark: SparkSession, d: str) -> DataFrame:
+    """Completions and truths by place; the longer list loses what has no partner."""
+    turn = F.struct("turn", "role", "text")
+    m = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    pairs = records.scored_pairs(F.transform("m", lambda x: x["text"]), F.slice(F.transform("m", lambda x: x["role"]), 1, 3))
+    return m.select("conv_id", F.posexplode(pairs).alias("p", "x")).select("conv_id", (F.col("p") + 1).alias("place"), "x.completion", "x.truth")
+
+
+@query(
+    "debug_projection",
+    """select 's' || doc_id as svg, concat_ws('. ', lang, source) prompt, source, lang || '/' || source prompts, length('s' || doc_id)::int raw_length from documents""",
+)
+def debug_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for prompts with, for debugging, what they are made of."""
+    docs = read(spark, d, "documents").withColumn("svg", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    found = records.prompt_rows(docs, ["lang", "source"], debug=True)
+    return found.withColumn("prompts", F.concat_ws("/", "prompts.lang", "prompts.source"))
+
+
+@query(
+    "rendered_square",
+    """select p_partkey, 32::int height, 32::int width, (p_size % 4 + 1) * 8 * 8::bigint painted from part""",
+)
+def rendered_square(spark: SparkSession, d: str) -> DataFrame:
+    """Drawings of other sizes fitted into a square of 32 pixels."""
+    w = F.col("p_size") % 4 + 1
+    p = read(spark, d, "part").select("p_partkey", _join('<svg viewBox="0 0 4 2" width="99" height="9"><rect width="', w, '" height="1" fill="blue"/></svg>').alias("svg"))
+    found = raster.rendered(p, "svg", (32, 32))
+    blue = F.size(F.filter(F.regexp_extract_all(F.hex("px"), F.lit("(.{6})"), F.lit(1)), lambda x: x == "0000FF")).cast("long")
+    return found.select("p_partkey", "height", "width", blue.alias("painted"))
+
+
+@query(
+    "resampled_images",
+    """
+    with e as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 k from embeddings), q as (select vec_id, k % 8 c, k // 8 r, v from e),
+    w as (select i, j, greatest(0.0, 1 - abs((j + 0.5) - (i + 0.5) * 2.0) / 2.0) w from range(4) s(i), range(8) t(j)), n as (select i, j, w / sum(w) over (partition by i) w from w),
+    z as (select q.vec_id, a.i r, b.i c, sum(v * a.w * b.w) v from q join n a on a.j = q.r join n b on b.j = q.c group by all)
+    select vec_id, round(max(v), 6) top, round(max(v) filter (r = 1 and c = 2), 6) one from z group by vec_id""",
+)
+def resampled_images(spark: SparkSession, d: str) -> DataFrame:
+    """8 x 8 images at 4 x 4 by smoothing between neighbours."""
+    found = metrics.resampled(read(spark, d, "embeddings"), "vec_id", "embedding", (8, 8), (4, 4), "bilinear")
+    return found.select("vec_id", F.round(F.array_max("px"), 6).alias("top"), F.round(F.col("px")[6], 6).alias("one"))
+
+
+@query("requested_scores", """select conv_id, turn, case when turn % 3 = 0 then 0.0 else length("text") end::double score from conversations""")
+def requested_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What a service answers for each turn; one that fails or takes too long has the default."""
+    import asyncio
+
+    from quarry import streaming
+
+    async def ask(value: str) -> float:
+        if value.startswith("0:"):
+            await asyncio.sleep(0 if len(value) % 2 else 60)
+            raise ValueError("no answer")
+        return len(value) - 2
+
+    asked = F.concat((F.col("turn") % 3).cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))
+    found = streaming.scored(read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("text").isNotNull(), asked).alias("asked")), "asked", ask, seconds=0.05)
+    return found.select("conv_id", "turn", "score")
