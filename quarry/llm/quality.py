@@ -297,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = 2)
             raw = pa.ListArray.from_arrays(pa.array((at * (N_RAW + 1)).astype(np.int32)), pa.array(np.c_[x, size].astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), raw], ["doc_id", "quality", "raw"])
 
-    got = stage(rows.mapInArrow(run, "doc_id bigint, quality int, raw array<float>"), "quality-sample").orderBy("doc_id", "quality").toArrow()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    got = stage(rows.mapInArrow(run, f"doc_id {id_type}, quality int, raw array<float>"), "quality-sample").orderBy("doc_id", "quality").toArrow()
     good = np.asarray(got["quality"]).astype(int) > 0
     if not len(good) or good.all() or not good.any():
         flat = 6.0 if not len(good) or good.all() else -6.0

@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(at), pa.array(h))], ["doc_id", "toxic", "h"])
 
-    held = stage(rows.mapInArrow(run, "doc_id bigint, toxic int, h array<bigint>"), "toxic-sample")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    held = stage(rows.mapInArrow(run, f"doc_id {id_type}, toxic int, h array<bigint>"), "toxic-sample")
     of = held.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, n1 = int(of[0]), int(of[1])
     if not n1 or n1 == n:
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
             cut = np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(many)]].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32)))], ["doc_id", "toxic", "f"])
 
-    got = held.mapInArrow(known, "doc_id bigint, toxic int, f array<int>").orderBy("doc_id", F.hash("f")).toArrow()
+    got = held.mapInArrow(known, f"doc_id {id_type}, toxic int, f array<int>").orderBy("doc_id", F.hash("f")).toArrow()
     toxic = np.asarray(got["toxic"]).astype(np.int64)
     lists = got["f"].combine_chunks()
     row = np.repeat(np.arange(len(toxic)), np.asarray(pa.compute.list_value_length(lists)))

@@ -63,3 +63,9 @@ def test_null_empty_long_and_clashing(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert rows[0].score == rows[1].score == rows[5].score
     assert quality.score(docs.where("false"), quality.fit(docs, labels)).collect() == []
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good words. " * 9 if i % 2 else "zz ## qq " * 9) for i in range(40)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, quality int")
+    assert quality.score(docs, quality.fit(docs, labels)).count() == 40

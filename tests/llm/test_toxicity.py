@@ -48,3 +48,9 @@ def test_labels_of_one_kind_none_and_empty_tables(spark):
     assert toxicity.clean(docs.where("false"), labels.where("false")).collect() == []
     extra = docs.withColumn("severity", F.lit("x"))
     assert toxicity.clean(extra, labels.where("false")).columns == ["doc_id", "text", "severity"]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good words. " * 9 if i % 2 else "zz ## qq " * 9) for i in range(40)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 40
