@@ -46,8 +46,8 @@ def solve(sizes: DataFrame, per: DataFrame, most: int, rounds: int = 80, near: f
     1 in relative entropy are least(most, exp(tilt * size / mean size)): the dual has one variable for each source's
     token constraint, and the bound is part of it, not cut off afterwards. Newton steps on the logarithm of the sum,
     each one aggregate over the histogram of sizes for all sources at once, kept inside a bracket that every step
-    shrinks (a step that leaves it, and every fourth, is a bisection). Only the number of open sources and the largest
-    residual come to the driver. Raises if a source does not settle.
+    shrinks (a step that leaves it, or follows one that did not halve the residual, is a bisection). Only the number of
+    open sources and the largest residual come to the driver. Raises if a source does not settle.
     """
     x = F.col("size") * F.col("documents") / F.col("source_size")
     open_ = per.where((F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * F.lit(float(most)) * (1 - 1e-12)))
@@ -63,20 +63,20 @@ def solve(sizes: DataFrame, per: DataFrame, most: int, rounds: int = 80, near: f
         F.when(ratio > 1, F.log(F.lit(float(most))) / F.col("x0")).otherwise(0.0).alias("hi"),
         F.log(ratio).alias("tilt"),
     )
-    state = checkpoint(state.withColumn("tilt", F.greatest("lo", F.least("hi", "tilt"))))
-    for step in range(rounds):
+    state = checkpoint(state.withColumn("tilt", F.greatest("lo", F.least("hi", "tilt"))).withColumn("was", F.lit(float("inf"))))
+    for _ in range(rounds):
         rate = F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("x")))
         words = F.col("n") * F.col("size") * rate
         slope = F.when(rate < float(most), words * F.col("x")).otherwise(0.0)
-        sums = hist.join(state, "s").groupBy("s", "target", "lo", "hi", "tilt").agg(F.sum(words).alias("g"), F.sum(slope).alias("dg"))
+        sums = hist.join(state, "s").groupBy("s", "target", "lo", "hi", "tilt", "was").agg(F.sum(words).alias("g"), F.sum(slope).alias("dg"))
         off = F.log(F.col("g") / F.col("target"))
         sums = sums.withColumn("off", F.coalesce(off, F.lit(-1.0)))
         sums = sums.withColumn("lo", F.when(F.col("off") < 0, F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("off") > 0, F.col("tilt")).otherwise(F.col("hi")))
         new = F.col("tilt") - F.col("off") * F.col("g") / F.nullif("dg", F.lit(0.0))
         half = (F.col("lo") + F.col("hi")) / 2
-        good = new.isNotNull() & (new >= F.col("lo")) & (new <= F.col("hi")) & F.lit(step % 4 != 3)
+        good = new.isNotNull() & (new >= F.col("lo")) & (new <= F.col("hi")) & (F.abs("off") <= F.col("was") / 2)
         done = (F.abs("off") < near) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs("tilt"))
-        state = checkpoint(sums.select("s", "target", "lo", "hi", F.when(done, F.col("tilt")).when(good, new).otherwise(half).alias("tilt"), F.abs("off").alias("off"), done.alias("done")))
+        state = checkpoint(sums.select("s", "target", "lo", "hi", F.when(done, F.col("tilt")).when(good, new).otherwise(half).alias("tilt"), F.abs("off").alias("off"), F.when(good, F.abs("off")).otherwise(F.lit(float("inf"))).alias("was"), done.alias("done")))
         left = state.where("not done").agg(F.count("*"), F.max("off")).first()
         if not left[0]:
             # Sums of the last bits may differ between runs; what is rounded here does not.
