@@ -8,13 +8,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, connected_components, stage
+from .base import checkpoint, columns, connected_components, stage
 
 COSINE = 0.9
 #: Vectors of a block, about; a block has a tree of its own.
 BLOCK = 8192
-#: Cells that blocks are cut from, at most; their pivots and radii are all that comes to the driver.
+#: Cells of the first level, at most; their centres and radii are all that comes to the driver.
 PIVOTS = 1024
+#: A cell of more than so many blocks is dealt to at most so many cells of its own, over so many levels at most.
+SPLIT, KIDS, LEVELS = 4, 256, 5
 #: Covering radii of the levels, halved from one to the next; distances are chords between unit vectors (0 to 2).
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Bounds are loosened by this, so rounding prunes no pair; pairs themselves are compared by cosine.
@@ -244,14 +246,89 @@ def _valid(c: str) -> str:
     return f"{c} is not null and size({c}) > 0 and not exists({c}, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists({c}, x -> x <> 0)"
 
 
+def _centres(x: list[bytes], kind: str, dim: int) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(x), kind).reshape(-1, dim)) if x else np.zeros((0, dim))
+
+
+def _finer(dealt: DataFrame, cells: DataFrame, near: DataFrame, centres: DataFrame, block: int, cosine: float, kind: str, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level more: cells of more than SPLIT blocks are dealt to cells of their own, about one a block but at most
+    KIDS, by the nearest of some of their vectors; and pairs of cells are replaced by the pairs of their children that
+    are within reach. Returns the vectors, the pairs and the centres as they are then.
+
+    A cell's centres meet its vectors in a stream: they come first in each part of the cell, so a task holds one cell's
+    centres and a batch of vectors, however many the cell has.
+    """
+    big = cells.where(F.col("n") > SPLIT * block)
+    big = big.select("dim", "cell", F.greatest(F.lit(1), F.floor(F.col("n") / F.least(F.lit(KIDS), F.ceil(F.col("n") / block)))).alias("each"), F.ceil(F.col("n") / (SPLIT * block)).cast("int").alias("salts"))
+    rows = dealt.join(big, ["dim", "cell"])
+    first = rows.where(F.pmod(F.xxhash64("node", F.lit(turn)), "each") == 0)
+    first = first.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "mass", "x")
+    rest = rows.select("dim", "cell", F.pmod(F.xxhash64("node", F.lit(-1)), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "node", "mass", "x")
+    stream = first.unionByName(rest).repartition("dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt", "kind", "node")
+
+    def deal(batches):
+        key, held, centre = None, [], np.zeros((0, 0))
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("dim", "cell", "salt", "kind")], strict=True))
+            xs = batch.column("x").to_pylist()
+            kid, far = np.zeros(len(keys), np.int64), np.full(len(keys), 2.0)
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                dim, cell, salt, which = keys[i]
+                if (dim, cell, salt) != key:
+                    key, held = (dim, cell, salt), []
+                if which == 0:
+                    kid[i:j], far[i:j] = cell * 4096 + 1 + np.arange(len(held), len(held) + j - i), 0.0
+                    held += xs[i:j]
+                    centre = _centres(held, kind, dim)
+                    continue
+                kid[i:j] = cell * 4096 + 1
+                for lo in range(i, j, 4096) if held else ():
+                    hi = min(j, lo + 4096)
+                    dots = _centres(xs[lo:hi], kind, dim) @ centre.T
+                    kid[lo:hi], far[lo:hi] = cell * 4096 + 1 + dots.argmax(1), chord(dots.max(1))
+            keep = pa.array([k[3] == 1 or k[2] == 0 for k in keys])
+            cols = [batch.column(c) for c in ("node", "mass", "dim", "cell")] + [pa.array(kid), pa.array(far), batch.column("x"), batch.column("kind")]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "mass", "dim", "parent", "cell", "far", "x", "kind"]).filter(keep)
+
+    made = stage(stream.mapInArrow(deal, "node bigint, mass bigint, dim int, parent bigint, cell bigint, far double, x binary, kind int"), "finer")
+    kids = made.select("dim", "parent", "cell").distinct()
+    dealt = stage(dealt.join(big, ["dim", "cell"], "left_anti").unionByName(made.where("kind = 1").drop("parent", "kind")), "dealt")
+    centres = centres.join(big, ["dim", "cell"], "left_anti").unionByName(made.where("kind = 0").select("dim", "cell", "x"))
+
+    all_ = cells.select("dim", F.col("cell").alias("parent")).join(kids, ["dim", "parent"], "left").select("dim", "parent", F.coalesce("cell", "parent").alias("kid"))
+    pairs = near.join(all_.withColumnRenamed("parent", "cell").withColumnRenamed("kid", "a"), ["dim", "cell"])
+    pairs = pairs.join(all_.withColumnRenamed("parent", "other").withColumnRenamed("kid", "b"), ["dim", "other"]).where("cell <> other or a <= b")
+    far = dealt.groupBy("dim", "cell").agg(F.max("far").alias("far")).join(centres, ["dim", "cell"], "left")
+    side = lambda c: far.select("dim", F.col("cell").alias(c), F.col("far").alias(f"far_{c}"), F.col("x").alias(f"x_{c}"))
+    pairs = pairs.select("dim", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), ["dim", "a"]).join(side("b"), ["dim", "b"])
+    reach = float(np.sqrt(2.0 - 2.0 * cosine)) + SLACK
+
+    def within(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            cols = {c: batch.column(c).to_pylist() for c in ("dim", "x_a", "x_b", "far_a", "far_b")}
+            for dim in set(cols["dim"]):
+                own = [i for i in range(batch.num_rows) if cols["dim"][i] == dim and cols["x_a"][i] is not None and cols["x_b"][i] is not None]
+                if own:
+                    dot = np.einsum("ij,ij->i", _centres([cols["x_a"][i] for i in own], kind, dim), _centres([cols["x_b"][i] for i in own], kind, dim))
+                    keep[own] = chord(dot) <= np.array([cols["far_a"][i] + cols["far_b"][i] for i in own]) + reach
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("dim", "a", "b")], ["dim", "cell", "other"]).filter(pa.array(keep))
+
+    near = stage(pairs.select("dim", "a", "b", "far_a", "far_b", "x_a", "x_b").mapInArrow(within, "dim int, cell bigint, other bigint"), "pairs")
+    return dealt, near, centres
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links (other vectors of cosine >= `cosine`), component_id (smallest vec_id reachable), kept.
 
-    1. Equal vectors are one class with a mass; classes are dealt to cells by the nearest of at most PIVOTS pivots, a
-       fixed sample, and cells are cut into blocks of about `block` vectors by hash, so no cell has to fit in a task.
-    2. Each block builds a cover tree: nested levels with halving radii.
-    3. Pairs of blocks whose cells may be within reach (by pivots' distance and cells' radii) are compared by a dual
-       traversal: a pair of nodes goes if their centres are farther than both covering radii and the threshold, counts
+    1. Equal vectors are one class with a mass; classes are dealt to cells by the nearest of at most PIVOTS centres, a
+       fixed sample, and large cells again to cells of their own (see _finer): the upper levels of a tree, held in
+       tables. Pairs of cells go level by level if their centres are farther than both radii and the threshold.
+    2. Cells are cut into blocks of about `block` vectors by hash, so none has to fit in a task, and each block builds a
+       cover tree: nested levels with halving radii. A cell of several blocks that is so small that all of its vectors
+       link is counted as a whole.
+    3. Pairs of blocks whose cells are within reach are compared by a dual traversal: a pair of nodes goes if their centres are farther than both covering radii and the threshold, counts
        as a whole if they are closer than the threshold less both radii, and is replaced by the pairs of their children
        otherwise. Pairs of vectors are compared in double precision where no bound decides.
     4. A block pair returns sums and a spanning set of links: a row or two for each vector, never its pairs.
@@ -271,9 +348,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     n = classes.count()
     most = max(1, min(PIVOTS, n // block))
     pivots = [np.array(r[0], np.float64) for r in classes.orderBy(F.xxhash64("embedding"), "node").limit(most).select("embedding").collect()]
-    by_dim: dict[int, np.ndarray] = {}
-    for k in sorted({len(p) for p in pivots}):
-        by_dim[k] = unit(np.stack([p for p in pivots if len(p) == k]))
+    raw = {k: np.stack([p for p in pivots if len(p) == k]) for k in sorted({len(p) for p in pivots})}
+    by_dim = {k: unit(p) for k, p in raw.items()}
 
     def deal(batches):
         for batch in batches:
@@ -289,25 +365,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
                     for lo in range(0, len(own), 4096):
                         dots = x[lo : lo + 4096] @ by_dim[k].T
                         cell[own[lo : lo + 4096]], far[own[lo : lo + 4096]] = dots.argmax(1), chord(dots.max(1))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("mass"), pa.array(size, pa.int32()), pa.array(cell), pa.array(far), pa.array([flat[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(batch.num_rows)], pa.binary())], ["node", "mass", "dim", "cell", "far", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("mass"), pa.array(size, pa.int32()), pa.array(cell.astype(np.int64)), pa.array(far), pa.array([flat[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(batch.num_rows)], pa.binary())], ["node", "mass", "dim", "cell", "far", "x"])
 
-    dealt = stage(classes.select("node", "mass", "embedding").mapInArrow(deal, "node bigint, mass bigint, dim int, cell int, far double, x binary"), "dealt")
-    cells = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.max("far").alias("far"))
-    tagged = dealt.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = stage(classes.select("node", "mass", "embedding").mapInArrow(deal, "node bigint, mass bigint, dim int, cell bigint, far double, x binary"), "dealt")
+    sized = lambda d: checkpoint(d.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.sum("mass").alias("total")))
+    cells = sized(dealt)
 
-    def tree(found: pa.Table) -> pa.Table:
-        dim = found["dim"][0].as_py()
-        x = np.frombuffer(b"".join(found["x"].to_pylist()), kind).reshape(-1, dim)
-        first = np.argsort(np.asarray(found["node"]), kind="stable")
-        x = x[first]
-        order, nodes = build(unit(x))
-        ids, mass = (np.asarray(found[c])[first][order] for c in ("node", "mass"))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": found["cell"].slice(0, 1), "part": found["part"].slice(0, 1), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("x", x[order]), ("nodes", nodes), ("ids", ids), ("mass", mass))}})
-
-    trees = tagged.groupBy("dim", "cell", "part").applyInArrow(tree, "dim int, cell int, part int, x binary, nodes binary, ids binary, mass binary")
-    trees = stage(trees.withColumn("block", F.monotonically_increasing_id()), "trees")
-
-    # Pairs of cells within reach: found for each cell from the pivots and radii of at most PIVOTS cells.
+    # Pairs of cells within reach: found for each cell from the centres and radii of at most PIVOTS cells.
     reach = float(np.sqrt(2.0 - 2.0 * cosine)) + SLACK
     radii = {(r.dim, r.cell): r.far for r in cells.select("dim", "cell", "far").collect() if r.dim in by_dim}
 
@@ -321,9 +385,35 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
                 far = np.array([radii.get((k, j), -np.inf) for j in range(len(by_dim[k]))])
                 d = chord(by_dim[k] @ by_dim[k][i])
                 out += [(k, i, int(j)) for j in np.flatnonzero(d <= far + far[i] + reach) if j >= i]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int32()) for c in range(3)], ["dim", "cell", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.int64()) for c in (1, 2)]], ["dim", "cell", "other"])
+
+    near = checkpoint(cells.select("dim", "cell").repartition("cell").mapInArrow(within, "dim int, cell bigint, other bigint"))
+    centres = spark.createDataFrame([(k, i, bytearray(v.astype(kind).tobytes())) for k, p in raw.items() for i, v in enumerate(p)], "dim int, cell bigint, x binary")
+    for turn in range(1, LEVELS):
+        before = cells.where(F.col("n") > SPLIT * block).count()
+        if not before:
+            break
+        dealt, near, centres = _finer(dealt, cells, near, centres, block, cosine, kind, turn)
+        cells = sized(dealt)
+    # All vectors of a small cell link with each other: nothing of it has to be compared with itself.
+    tight = (2 * F.col("far") <= reach - 4 * SLACK) & (F.col("n") > block)
+    whole = checkpoint(cells.where(tight).select("dim", "cell", "total"))
+    near = near.join(whole.select("dim", "cell", F.col("cell").alias("other")), ["dim", "cell", "other"], "left_anti")
+    parts = cells.select("dim", "cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    tagged = dealt.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+
+    def tree(found: pa.Table) -> pa.Table:
+        dim = found["dim"][0].as_py()
+        x = np.frombuffer(b"".join(found["x"].to_pylist()), kind).reshape(-1, dim)
+        first = np.argsort(np.asarray(found["node"]), kind="stable")
+        x = x[first]
+        order, nodes = build(unit(x))
+        ids, mass = (np.asarray(found[c])[first][order] for c in ("node", "mass"))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": found["cell"].slice(0, 1), "part": found["part"].slice(0, 1), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("x", x[order]), ("nodes", nodes), ("ids", ids), ("mass", mass))}})
+
+    trees = tagged.groupBy("dim", "cell", "part").applyInArrow(tree, "dim int, cell bigint, part int, x binary, nodes binary, ids binary, mass binary")
+    trees = stage(trees.withColumn("block", F.monotonically_increasing_id()), "trees")
 
-    near = cells.select("dim", "cell").repartition("cell").mapInArrow(within, "dim int, cell int, other int")
     blocks = trees.select("dim", "cell", "block")
     pairs = blocks.join(near, ["dim", "cell"]).join(blocks.select("dim", F.col("cell").alias("other"), F.col("block").alias("b")), ["dim", "other"])
     pairs = pairs.where("cell <> other or block <= b").select(F.least("block", "b").alias("a"), F.greatest("block", "b").alias("b"))
@@ -343,6 +433,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
         return pa.table({"node": pa.array(ids[hit]), "n": pa.array(links[hit]), "to": pa.array(ids[got.label[hit]])})
 
     found = stage(sent.groupBy("a", "b").applyInArrow(traverse, "node bigint, n bigint, to bigint"), "vector-links")
+    inside = dealt.join(whole, ["dim", "cell"]).select("node", (F.col("total") - F.col("mass")).alias("n"), "dim", "cell")
+    hub = inside.groupBy("dim", "cell").agg(F.min("node").alias("to"))
+    found = found.unionByName(inside.join(hub, ["dim", "cell"]).select("node", "n", "to"))
     joined = connected_components(found.select("node", "to")).select("node", "component")
     known = classes.select("node", "embedding", "d", "mass").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(joined, "node", "left")
     known = known.select("embedding", "d", (F.coalesce("n", F.lit(0)) + F.col("mass") - 1).alias("n"), F.coalesce("component", "node").alias("component"))

@@ -66,3 +66,17 @@ def test_bounds_prune_and_whole_nodes_count():
     want = (x[order] @ x[order].T >= 0.9).sum(1) - 1
     assert (got.links[0] == want).all()
     assert got.compared < len(x) ** 2 / 4
+
+
+@pytest.mark.parametrize(("block", "pivots"), [(8, 2), (30, 1)])
+def test_cells_of_several_levels_equal_brute_force(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(covertree, "PIVOTS", pivots)
+    made = []
+    finer = covertree._finer
+    monkeypatch.setattr(covertree, "_finer", lambda *a: made.append(1) or finer(*a))
+    r = np.random.default_rng(9)
+    rows = vectors(3, 200) + [(1000 + k, [float(x) for x in (np.eye(12)[0] + 0.01 * r.normal(size=12)).astype(np.float32)]) for k in range(150)]
+    rows += [(2000, rows[-1][1]), (2001, [1.0, 2.0]), (2002, [1.0, 2.1]), (None, rows[-1][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((tuple(g) for g in covertree.near_vectors(table, block=block).collect()), key=str)
+    assert got == brute(rows) and made
