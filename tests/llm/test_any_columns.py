@@ -2,7 +2,8 @@
 
 import pytest
 
-from quarry.llm import minhash, mixture, substrings
+import corpus_pipeline
+from quarry.llm import minhash, mixture, quality, shards, substrings, toxicity
 
 NAMES = ["doc_id", "text", "source", "d", "h", "c", "copy", "g", "p", "k", "k1", "h1", "c0", "__pos", "__h", "__k", "component", "best", "n", "text"]
 
@@ -51,3 +52,24 @@ def test_mixed_and_empty(spark):
     assert mixture.mixed(table).columns == NAMES
     for stage in (minhash.deduplicated, substrings.cut, mixture.mixed):
         assert stage(table.where("false")).collect() == []
+
+
+def test_every_stage_takes_any_columns(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    rows = [(i if i % 4 else None, f"{A if i % 2 else B} {i} {P}", "s" if i % 3 else None) for i in range(20)]
+    docs = wide(spark, rows)
+    assert toxicity.clean(docs, labels).columns == NAMES
+    for name, apply in corpus_pipeline.STAGES[1:]:
+        docs = apply(spark, docs, "")
+        assert docs.columns == NAMES if name != "bpe" else {"doc_id", "source", "ids"} <= set(docs.columns)
+        assert docs.count() > 0
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000 + "bad"
+    docs = spark.createDataFrame([(1, long, "a"), (2, "bad word", "a"), (3, "word", None)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, toxic int")
+    assert {r.doc_id: r.p_toxic for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}.keys() == {1, 2, 3}
+    assert {r.doc_id: r.size for r in shards.interleave(docs).collect()} == {1: len(long) + 8, 2: 16, 3: 12}
+    assert {r.doc_id: r.size for r in mixture.mix(docs).collect()} == {1: 400_001, 2: 2, 3: 1}
+    assert quality.score(docs, quality.fit(docs, labels.withColumnRenamed("toxic", "quality"))).count() == 3
