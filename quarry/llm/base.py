@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,20 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, as batches of at most `limit` bytes of text, or one row.
+
+    What is worked out for each byte or word of a batch takes many times its size, so batches must not be large.
+    """
+    for batch in batches:
+        at = utf8(batch.column(column))[1]
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x.astype(_U, copy=True)

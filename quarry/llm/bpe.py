@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns
+from .base import columns, portions
 
 #: Bytes of a leaf of a piece, and characters of a leaf of a text.
 PIECE, LEAF = 192, 2048
@@ -37,7 +37,7 @@ SPREAD = 1 << 16
 _AHEAD = 3
 #: The pieces of a text and the packed ids of each.
 Part = tuple[list[str], list[bytes]]
-CACHED = 400_000
+CACHED = 200_000
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of which every Unicode version in use has the same classes; other texts are split by the library itself.
@@ -270,7 +270,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, piece: int = PIECE, leaf:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer, piece, leaf)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             packed = [own.encode(text.as_py() or "") for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + _columns([_digests(own, p) for p in packed], packed if ids else None), [*keep, *names])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, utf8
+from .base import columns, portions, utf8
 
 RATE, FRAME, HOP, BLOCK = 8000, 256, 128, 4096
 #: Frequency bins of a frame are searched for one peak in each of these ranges.
@@ -105,7 +105,7 @@ def media_columns(docs: DataFrame, media: bool = False) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             data, at = utf8(batch.column("text"))
             rows: list[tuple] = []
             codes, times, stored = [], [], []

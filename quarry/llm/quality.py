@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, span_hashes, stage, utf8, words
+from .base import columns, portions, span_hashes, stage, utf8, words
 
 #: Labelled documents that the model is fitted on, at most; those with the least hashes of their ids.
 SAMPLE = 6_000
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = 2)
     rows = columns(docs, ["doc_id", "text"]).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             x, size, of = line_features(data, offsets)
             at = np.searchsorted(of, np.arange(batch.num_rows + 1))

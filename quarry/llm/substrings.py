@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, lower_ascii, mix64, place_of, placed, powers, row_hash, span_hashes, stage, utf8, words
+from .base import columns, lower_ascii, mix64, place_of, placed, portions, powers, row_hash, span_hashes, stage, utf8, words
 
 #: A run is the fewest sentences from a given one on that are at least so many and have at least so many words. Where
 #: both ends are asked for, so is a run the fewest up to a given sentence, and one sentence of at least so many words.
@@ -139,7 +139,7 @@ def deduplicated(docs: DataFrame, both_ends: bool = False) -> DataFrame:
     where = stay.index(what)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, what, 1 << 23):
             data, offsets = utf8(batch.column(what))
             texts: list = [None] * batch.num_rows
             counts = np.zeros((3, batch.num_rows), np.int64)

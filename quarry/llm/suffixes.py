@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, mix64, powers, stage, utf8
+from .base import columns, mix64, portions, powers, stage, utf8
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor its windows.
 LENGTH, GRAM = 200, 64
@@ -22,8 +22,6 @@ _PART = 1 << 13
 #: Contexts of one anchor beyond which its windows are dealt out one by one.
 HOT = 100_000
 _STEP = 1 << 17
-#: Bytes of texts that are read at a time.
-_SOME = 1 << 22
 _U = np.uint64
 _BYTE = mix64(np.arange(7001, 7257, dtype=_U))
 _LOW = _U((1 << 20) - 1)
@@ -85,15 +83,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SOME, "right")) - 1)
-            row, first, count, g, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            r = batch.column("r").take(pa.array(row + i))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), r, pa.array(first, pa.int32()), pa.array(count.astype(np.int32))], ["a", "c", "r", "first", "count"])
-            i = j
+    for batch in portions(batches, "text"):
+        row, first, count, g, c = anchors(*utf8(batch.column("text")))
+        r = batch.column("r").take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), r, pa.array(first, pa.int32()), pa.array(count.astype(np.int32))], ["a", "c", "r", "first", "count"])
 
 
 class Level:
@@ -278,7 +271,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text"):
         data, offsets = utf8(batch.column("text"))
         removed, spans, digest = [], [], []
         lists = [batch.column(x).to_pylist() for x in ("firsts", "windows")]

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, lower_ascii, span_hashes, stage, utf8, words
+from .base import columns, lower_ascii, portions, span_hashes, stage, utf8, words
 
 #: Labelled documents that the model is fitted on, at most; those with the least hashes of their ids.
 SAMPLE = 12_000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int =
     rows = columns(docs, ["doc_id", "text"]).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             h, row = word_hashes(*utf8(batch.column("text")))
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     schema = ", ".join([f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep] + ["severity double, p_toxic double, grade int, rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             above = model.above(*utf8(batch.column("text")))
             each = np.c_[np.ones(len(above)), above] - np.c_[above, np.zeros(len(above))]
             cols = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(each.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= REJECT)]
@@ -207,7 +207,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, at):
             yield batch.filter(pa.array(model.above(*utf8(batch.column(at)))[:, 0] < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
