@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, lower_ascii, portions, span_hashes, stage, utf8, words
+from .base import columns, lower_ascii, placed, portions, span_hashes, stage, utf8, words
 
 #: Labelled documents that the model is fitted on, at most; those with the least hashes of their ids.
 SAMPLE = 12_000
@@ -204,10 +204,12 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and stay; repeated rows and null ids are judged as any other; of several columns
     named text the first counts; without toxic labels all stay; an empty table gives an empty result.
     """
-    model, at = fit(docs, labels), docs.columns.index("text")
+    model = fit(docs, labels)
+    place, names = placed(docs)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, at):
             yield batch.filter(pa.array(model.above(*utf8(batch.column(at)))[:, 0] < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return place.mapInArrow(run, place.schema).toDF(*names)
