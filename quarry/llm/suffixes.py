@@ -257,17 +257,51 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat.field(x).take(pa.array(keep)) for x in ("a", "c", "n")] + [blob], ["a", "c", "n", "context"])
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows of crowded anchors, anchored again at their anchor and GRAM bytes beside it.
+
+    Windows that begin less than a certain way before the anchor hold that many bytes behind it, the others before it;
+    so each run is cut in two at most, and equal windows have equal new anchors.
+    """
+    side = (LENGTH - GRAM) // 2
+    for batch in portions(batches, "text"):
+        data, offsets = utf8(batch.column("text"))
+        out: list[tuple] = []
+        for i, (r, asked) in enumerate(zip(batch.column("r").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+            for x in asked:
+                begin, count = int(offsets[i]) + x["first"], x["count"]
+                if begin + count + LENGTH - 1 > offsets[i + 1]:
+                    continue  # another text has the same hash
+                own = data[begin : begin + count + LENGTH - 1]
+                roll = Rolling(own)
+                at = np.arange(len(own) - GRAM + 1)
+                found = np.flatnonzero(roll.of(at, at + GRAM).view(np.int64) == x["a"])
+                if not len(found):
+                    continue
+                place, old = int(found[0]), _U(x["a"] % 2**64)
+                middle = min(max(0, place - side), count)
+                for lo, hi, b, salt in ((0, middle, place - GRAM, 1), (middle, count, place + GRAM, 2)):
+                    if lo < hi:
+                        ends = np.array([[b, b + GRAM], [lo, hi + LENGTH - 1]])
+                        beside, whole = roll.of(ends[:, 0], ends[:, 1])
+                        out.append((mix64(np.array([beside ^ mix64(np.array([old]))[0] ^ _U(salt)]))[0], mix64(np.array([whole ^ _U(place - lo)]))[0], r, x["first"] + lo, hi - lo))
+        for lo in range(0, len(out), 100_000):
+            part = out[lo : lo + 100_000]
+            cols = [np.array([p[k] for p in part], _U).view(np.int64) for k in (0, 1)] + [np.array([p[k] for p in part], t) for k, t in ((2, np.int64), (3, np.int32), (4, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "c", "r", "first", "count"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a hot anchor by itself: two hashes of its bytes."""
-    for batch in batches:
+    """Every window of a crowded anchor by itself: 128 bits of hash of its bytes."""
+    for batch in portions(batches, "text"):
         data, offsets = utf8(batch.column("text"))
-        first, count = (np.asarray(batch.column(x)).astype(np.int64) for x in ("first", "count"))
-        for i in range(batch.num_rows):
-            w = np.arange(first[i], first[i] + count[i])
-            part = data[offsets[i] + w[0] : offsets[i] + w[-1] + LENGTH]
-            at = w - w[0]
-            digest = [hashlib.blake2b(part[k : k + LENGTH].tobytes(), digest_size=16).digest() for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([batch.column("r")[i].as_py()] * len(w), pa.int64()), pa.array(w, pa.int32())], ["h", "r", "first"])
+        for i, (r, asked) in enumerate(zip(batch.column("r").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+            for x in asked:
+                begin = int(offsets[i]) + x["first"]
+                if begin + x["count"] + LENGTH - 1 > offsets[i + 1]:
+                    continue  # another text has the same hash
+                digest = [hashlib.blake2b(data[k : k + LENGTH].tobytes(), digest_size=16).digest() for k in range(begin, begin + x["count"])]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([r] * len(digest), pa.int64()), pa.array(np.arange(x["first"], x["first"] + len(digest)), pa.int32())], ["h", "r", "first"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,27 +337,39 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
     3. Contexts are dealt and sorted by anchor, so equal windows meet in one partition, where a Family takes them in
        batches (see _matched).
     4. An anchor with more than `hot` different contexts (a common string shorter than LENGTH in many surroundings) is
-       not gathered: its windows are counted one by one by their hashes of 128 bits.
+       split by the bytes beside it (see _refined). What is crowded still is not gathered: its windows are dealt out and
+       counted one by one, by their hashes of 128 bits.
     """
     texts = columns(docs, ["doc_id", "text"]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("r"), "text")
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchored, "a bigint, c bigint, r bigint, first int, count int")
     # Written, so that both sides of the join come straight from a shuffle and a frequent anchor can be split.
     shared = stage(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "shared")
     places = stage(found.hint("merge").join(shared.hint("merge"), "a", "left_semi"), "anchors")
-    contexts = places.groupBy("a", "c").agg(F.min(F.struct("r", "first", "count")).alias("at"), F.count("*").alias("n"))
-    contexts = contexts.select("a", "c", "n", F.col("at.r").alias("r"), F.col("at.first").alias("first"), F.col("at.count").alias("count"))
-    crowded = contexts.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("a")
-    crowded = stage(crowded, "hot")
+    grouped = lambda p: p.groupBy("a", "c").agg(F.min(F.struct("r", "first", "count")).alias("at"), F.count("*").alias("n")).select("a", "c", "n", F.col("at.r").alias("r"), F.col("at.first").alias("first"), F.col("at.count").alias("count"))
+    over = lambda c: stage(c.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("a"), "hot")
+    contexts = grouped(places)
+    crowded = over(contexts)
     any_hot = crowded.limit(1).count() > 0
     if any_hot:
-        contexts = contexts.join(crowded, "a", "left_anti")
+        # Rows of equal r are equal texts, each of which meets the places of all of them once.
+        mine = places.join(crowded, "a", "left_semi").select("r", "a", "first", "count").distinct()
+        mine = mine.groupBy("r").agg(F.collect_list(F.struct("a", "first", "count")).alias("asked"))
+        again = stage(mine.join(texts.hint("merge"), "r").select("r", "asked", "text").mapInArrow(_refined, "a bigint, c bigint, r bigint, first int, count int"), "refined")
+        shared = again.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        places = places.join(crowded, "a", "left_anti").unionAll(again.join(shared, "a", "left_semi"))
+        contexts = grouped(places)
+        crowded = over(contexts)
+        any_hot = crowded.limit(1).count() > 0
+        if any_hot:
+            contexts = contexts.join(crowded, "a", "left_anti")
     # Documents of equal r are equal: one stands for all.
     asked = contexts.groupBy("r").agg(F.collect_list(F.struct("a", "c", "n", "first", "count")).alias("asked"))
     bytes_ = asked.join(texts.hint("merge"), "r").select("asked", "text").mapInArrow(_contexts, "a bigint, c bigint, n bigint, context binary")
     runs = bytes_.repartition("a").sortWithinPartitions("a").mapInArrow(_matched, "a bigint, c bigint, skip int, windows int")
     out = places.hint("merge").join(runs, ["a", "c"]).select("r", (F.col("first") + F.col("skip")).alias("first"), "windows")
     if any_hot:
-        each = places.join(crowded, "a", "left_semi").join(texts, "r").mapInArrow(_windows, "h binary, r bigint, first int")
+        mine = places.join(crowded, "a", "left_semi").select("r", "first", "count").distinct().groupBy("r").agg(F.collect_list(F.struct("first", "count")).alias("asked"))
+        each = mine.join(texts.hint("merge"), "r").select("r", "asked", "text").mapInArrow(_windows, "h binary, r bigint, first int")
         many = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
         out = out.unionAll(each.join(many, "h", "left_semi").select("r", "first", F.lit(1).alias("windows")))
     return out

@@ -45,7 +45,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, suffixes.HOT), (2, 4)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, suffixes.HOT), (2, 4), (5, 1), (6, 12)])
 def test_equals_brute_force(spark, seed, hot):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, first int")
@@ -109,3 +109,16 @@ def test_a_very_long_repeated_text(spark):
     docs = spark.createDataFrame([(1, text), (2, text), (3, "head " + text[1_000_000:1_000_500] + " tail")], "doc_id long, text string")
     got = {x.doc_id: x for x in suffixes.without_repeats(docs).collect()}
     assert [got[k].n_removed for k in (1, 2, 3)] == [2_000_000, 2_000_000, 500]
+
+
+def test_crowded_anchors_are_split_by_what_stands_beside_them(spark):
+    """One phrase of 90 bytes in very many surroundings, some of which repeat."""
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    phrase, near = prose(90), [(prose(120), prose(120)) for _ in range(6)]
+    rows = [(i, prose(150) + phrase + prose(150)) for i in range(60)]
+    rows += [(100 + i, prose(40) + a + phrase + b + prose(30)) for i, (a, b) in enumerate(r.choice(near) for _ in range(20))]
+    rows += [(200 + i, prose(150) + phrase + near[i % 6][1]) for i in range(12)] + [(7, rows[3][1]), (7, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffixes.without_repeats(docs, 40).collect()), key=str)
+    assert got == brute(rows)
