@@ -221,7 +221,8 @@ def _meet(links: DataFrame, key: str, least: DataFrame) -> DataFrame:
     other = "v" if key == "u" else "u"
     salted = least.select(F.col("u").alias("w"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
     dealt = links.withColumn("t", F.pmod(F.xxhash64(other), F.lit(SALT)).cast("int"))
-    return dealt.join(salted, (F.col(key) == F.col("w")) & (F.col("t") == F.col("s")), "left").select("u", "v", "m")
+    same = (F.col(key) == F.col("w")) & (F.col("t") == F.col("s"))
+    return dealt.hint("merge").join(salted.hint("merge"), same, "left").select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
