@@ -373,7 +373,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
 
     # Pairs of cells within reach: found for each cell from the centres and radii of at most PIVOTS cells.
     reach = float(np.sqrt(2.0 - 2.0 * cosine)) + SLACK
-    radii = {(r.dim, r.cell): r.far for r in cells.select("dim", "cell", "far").collect() if r.dim in by_dim}
+    radii = {(r.dim, r.cell): r.far for r in cells.where(F.col("dim").isin(list(by_dim))).select("dim", "cell", "far").collect()}
 
     def within(batches):
         for batch in batches:
