@@ -91,6 +91,21 @@ ORACLE_SQL: dict[str, str] = {
             vec_id is not distinct from c as kept
         from v join component using (r)
     """,
+    "op5_sharding": r"""
+        with bits as (select i, list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) r(i)),
+        crc as (select list(v order by i) as t from bits),
+        docs as (select doc_id, source, coalesce("text", '') as body, hex(encode(coalesce("text", ''))) as h from documents),
+        rows_ as (
+            select doc_id, source, (len(h) // 2 + 8)::bigint as size, ('0x' || substr(md5('0|' || coalesce(doc_id::varchar, '') || '|' || body), 1, 15))::bigint as k,
+                xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)::bigint as text_crc32
+            from docs, crc
+        ), ranked as (
+            select *, (row_number() over (partition by source order by k, doc_id nulls first, text_crc32, size) - 1 + 0.5::double) / count(*) over (partition by source) as part_at from rows_
+        ), placed as (
+            select *, row_number() over (order by part_at, source nulls first, doc_id nulls first, text_crc32, size) - 1 as g, count(*) over () as total from ranked
+        ), cut as (select *, (g * 24 // total)::int as shard from placed)
+        select doc_id, size, text_crc32, 'rows' as law, shard, (row_number() over (partition by shard order by g) - 1)::bigint as slot, null::int as grown_shard, source from cut
+    """,
     "op8_minhash": r"""
         with recursive words as (
             select row_number() over () as r, doc_id,

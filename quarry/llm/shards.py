@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,12 @@ from .base import columns, stage
 RANKED = 20_000
 
 
+def shuffled(seed: int, doc_id: Column, text: Column) -> Column:
+    """60 bits of MD5 of seed, id and text: a shuffle that any engine can say again."""
+    own = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text)
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
+
+
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 0, strata: str = "source") -> DataFrame:
     """Cut `docs` into shards whose row counts differ by one at most and whose strata match the whole's mixture.
 
@@ -34,12 +40,12 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 0, strata: str = "
         F.col(strata).alias("stratum"),
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), "doc_id", text).alias("h"),
+        shuffled(seed, F.col("doc_id"), text).alias("h"),
     )
     rows = stage(rows, "shards")
     total = rows.count()
     ranges = max(256, -(-total // RANKED))
-    spread = lambda name: F.floor((F.shiftrightunsigned(name, 11) * F.lit(2.0**-53)) * ranges).alias("part")
+    spread = lambda name: F.floor(F.col(name) * F.lit(2.0**-60) * ranges).alias("part")
     rows = rows.select("*", spread("h"))
 
     counts = rows.groupBy("stratum", "part").agg(F.count("*").alias("n"))

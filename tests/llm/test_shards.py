@@ -1,5 +1,6 @@
 """Sharding: counts, slots, sizes and the mixture of every shard."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,15 +54,15 @@ def test_empty_equal_and_clashing(spark, docs):
 
 def test_equals_plain_interleaving(spark, docs):
     """Ranks of seeded hashes within each stratum, all rows by fractional rank, cut into equal runs."""
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.lit(0), "doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).collect()
     last = lambda v: (v is not None, v)
     crc = lambda t: zlib.crc32(t.encode())
     own = defaultdict(list)
     for r in rows:
-        own[r.source].append((r.h, r.doc_id, crc(r.t), len(r.t) + 8))
+        own[r.source].append((int(hashlib.md5(f"0|{r.doc_id}|{r.t}".encode()).hexdigest()[:15], 16), r.doc_id, crc(r.t), len(r.t) + 8))
     placed = []
     for source, members in own.items():
-        members.sort(key=lambda m: (range_of(m[0]), *m))
+        members.sort()
         placed += [((k + 0.5) / len(members), last(source), m[1], m[2]) for k, m in enumerate(members)]
     placed.sort()
     total = len(placed)
@@ -73,7 +74,3 @@ def test_equals_plain_interleaving(spark, docs):
     got = Counter((r.doc_id, r.text_crc32, r.source, r.shard, r.slot) for r in shards.interleave(docs).collect())
     assert got == want
 
-
-def range_of(h, ranges=256):
-    """The range of a hash among so many (more only for more than 5 million rows)."""
-    return int(((h % 2**64) >> 11) * 2.0**-53 * ranges)
