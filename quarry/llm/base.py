@@ -94,6 +94,12 @@ def row_hash(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), nulls, *[F.col(c) for c in cols])
 
 
+def shuffled(seed: int, doc_id: Column, text: Column) -> Column:
+    """60 bits of MD5 of seed, id and text: a shuffle that any engine can say again."""
+    own = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
+
+
 # --- text columns as byte buffers -------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

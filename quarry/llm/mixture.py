@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, columns, place_of, placed, row_hash, stage
+from .base import checkpoint, columns, place_of, placed, row_hash, shuffled, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and size that one task ranks together, about.
@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return per.select("s", "source", "source_size", "documents", F.least("stop", F.coalesce(F.col("w") * F.col("at"), F.col("stop"))).alias("target"))
 
 
-def solve(sizes: DataFrame, per: DataFrame, most: int, rounds: int = 80, near: float = 1e-10) -> DataFrame:
+def solve(sizes: DataFrame, per: DataFrame, most: int, rounds: int = 80, near: float = 1e-12) -> DataFrame:
     """s, tilt: the dual solution of entropy balancing for each source that has words and a target below its stop.
 
     Of all rates from 0 to `most` that document k may have, those with sum of rate * size = target that are nearest to
@@ -111,7 +111,7 @@ def rounded(rates: DataFrame, most: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
-    """doc_id, size (words), source_size, target, rate, copies and taken (size * copies) of every document.
+    """doc_id, size (words), source_size, target, rate (six decimals), copies and taken (size * copies) of every document.
 
     Rates are those of `solve`; at a source's stop all of its documents have rate `most`. All documents of one source
     and size have one rate; `rounded` gives their number of copies together, dealt out evenly over them in the order of
@@ -123,8 +123,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     empty table gives an empty result. Reruns agree: nothing depends on partitions or their order.
     """
     docs = columns(docs, ["doc_id", "source", "text"])
-    h, g = (row_hash(seed + k, *docs.columns) for k in (0, 1))
-    return _mix(docs, ("doc_id",), h, g, weights, share, most)
+    return _mix(docs, ("doc_id",), shuffled(seed, F.col("doc_id"), F.col("text")), row_hash(seed, *docs.columns), weights, share, most)
 
 
 def _mix(docs: DataFrame, keep: Sequence[str], h: Column, g: Column, weights: Sequence[float], share: float, most: int) -> DataFrame:
@@ -143,7 +142,7 @@ def _mix(docs: DataFrame, keep: Sequence[str], h: Column, g: Column, weights: Se
     total = rounded(rates.select("s", "size", "n", "target", "rate"), most)
     rates = checkpoint(rates.join(total, ["s", "size"]).withColumn("parts", F.ceil(F.col("n") / RANKED).cast("long")).drop("s"))
     found = rows.join(rates, F.col("__source").eqNullSafe(F.col("o")) & (F.col("__size") == F.col("size"))).drop("o")
-    found = found.withColumn("part", F.floor((F.shiftrightunsigned("__h", 11) * F.lit(2.0**-53)) * F.col("parts")))
+    found = found.withColumn("part", F.floor(F.col("__h") * F.lit(2.0**-60) * F.col("parts")))
     own = ["__source", "__size", "part"]
     part = found.groupBy(*own).agg(F.count("*").alias("m"))
     part = part.select(F.col("__source").alias("o"), F.col("__size").alias("z"), F.col("part").alias("p"), (F.sum("m").over(W.partitionBy("__source", "__size").orderBy("part")) - F.col("m")).alias("k0"))
@@ -151,20 +150,20 @@ def _mix(docs: DataFrame, keep: Sequence[str], h: Column, g: Column, weights: Se
     found = found.withColumn("k", k).join(part, F.col("__source").eqNullSafe(F.col("o")) & (F.col("__size") == F.col("z")) & (F.col("part") == F.col("p")))
     found = found.withColumn("j", F.col("k0") + F.col("k"))
     found = found.withColumn("copies", F.expr("cast(((j + 1) * total) div n - (j * total) div n as int)"))
-    return found.select(*keep, *(["__h", "__g"] if not keep else []), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return found.select(*keep, *(["__h", "__g"] if not keep else []), "size", "source_size", "target", F.round("rate", 6).alias("rate"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
     """The documents of the mix themselves, each as many times as it has copies.
 
-    Copies are found without the texts, which are shuffled once, to meet them, by 128 bits of hash of the whole row.
+    Copies are found without the texts, which are shuffled once, to meet them, by 124 bits of hash of the whole row.
     Rows equal in every column share theirs: they are written as often as they have copies together. Columns are known
     by their place here, so any names, clashing ones too, come back as they were; of several columns named doc_id,
     source or text the first counts. Nulls, empty texts and empty tables: as in `mix`.
     """
     place, names = placed(docs)
     read = place.select(*[F.col(place_of(names, c)).alias(c) for c in ("source", "text")], "*")
-    h, g = (row_hash(seed + k, *place.columns) for k in (0, 1))
+    h, g = row_hash(seed, *place.columns).bitwiseAND(F.lit((1 << 60) - 1)), row_hash(seed + 1, *place.columns)
     total = _mix(read, (), h, g, weights, share, most).where("copies > 0").groupBy("__h", "__g").agg(F.sum("copies").cast("int").alias("__c"))
     once = place.withColumn("__h", h).withColumn("__g", g).dropDuplicates(["__h", "__g"])
     found = once.join(total, ["__h", "__g"])

@@ -106,6 +106,64 @@ ORACLE_SQL: dict[str, str] = {
         ), cut as (select *, (g * 24 // total)::int as shard from placed)
         select doc_id, size, text_crc32, 'rows' as law, shard, (row_number() over (partition by shard order by g) - 1)::bigint as slot, null::int as grown_shard, source from cut
     """,
+    "op6_mixture": r"""
+        with recursive docs as (
+            select doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+                ('0x' || substr(md5('0|' || coalesce(doc_id::varchar, '') || '|' || coalesce("text", '')), 1, 15))::bigint as h
+            from documents
+        ), per as (
+            select source, sum(size)::bigint as source_size, count(*)::bigint as documents, row_number() over (order by source nulls last) as s from docs group by source
+        ), weighed as (
+            select *, ([3.0, 1.0, 2.0]::double[])[((s - 1) % 3 + 1)::int] as w, source_size * 2.0::double as stop, sum(source_size) over ()::double * 1.5::double as budget from per
+        ), filled as (
+            select *, stop / w as ratio, (budget - coalesce(sum(stop) over (order by stop / w, s rows between unbounded preceding and 1 preceding), 0.0))
+                / (sum(w) over () - coalesce(sum(w) over (order by stop / w, s rows between unbounded preceding and 1 preceding), 0.0)) as level from weighed
+        ), levelled as (
+            select *, (select f.level from filled f where f.level <= f.ratio order by f.ratio, f.s limit 1) as water from filled
+        ), targets as (
+            select s, source, source_size, documents, least(stop, coalesce(w * water, stop)) as target from levelled
+        ), hist as (
+            select s, size, count(*)::bigint as n from docs join per on docs.source is not distinct from per.source group by all
+        ), lists as (
+            select t.s, t.target, t.source_size, list({'x': size * documents / source_size::double, 'm': (n * size)::double}) as l,
+                case when target < source_size then -1 / (exp(1.0) * (target / source_size)) else 0.0 end as lo,
+                case when target > source_size then ln(2.0) / min(size * documents / source_size::double) else 0.0 end as hi
+            from targets t join hist on hist.s = t.s where size > 0 and target < source_size * 2.0::double * (1 - 1e-12) group by t.s, t.target, t.source_size, t.documents
+        ), solved as (
+            select s, list_reduce(list_prepend({'lo': lo, 'hi': hi}, list_transform(range(200), lambda k: {'lo': lo, 'hi': hi})),
+                lambda a, k: case when list_sum(list_transform(l, lambda e: e.m * least(2.0, exp((a.lo + a.hi) / 2 * e.x)))) < target
+                    then {'lo': (a.lo + a.hi) / 2, 'hi': a.hi} else {'lo': a.lo, 'hi': (a.lo + a.hi) / 2} end) as b
+            from lists
+        ), rates as (
+            select h.s, h.size, h.n, t.target, case when h.size = 0 then 1.0::double
+                else coalesce(least(2.0, exp(format('{:.7e}', (b.lo + b.hi) / 2)::double * h.size * t.documents / t.source_size)), 2.0::double) end as rate
+            from hist h join targets t on t.s = h.s left join solved on solved.s = h.s
+        ), summed as (select *, sum(n * rate) over (partition by s order by size) as upto from rates),
+        cut as (
+            select s, size, n, target, rate, greatest(0, least(floor(upto + 0.5) - floor(upto - n * rate + 0.5), 2 * n))::bigint as total from summed
+        ), misses as (select s, max(target) - sum(size * total) as miss from cut group by s),
+        room as (
+            select c.s, miss, size, case when miss > 0 then 2 * n - total else total end as spare from cut c join misses m on m.s = c.s
+            where size > 0 and size <= abs(miss) and case when miss > 0 then 2 * n - total else total end > 0
+        ), best as (
+            select s, miss, floor(log2(size)) as scale, max({'spare': spare, 'less': -size}) as top from room group by all
+        ), steps as (
+            select s, miss, -top.less as size, top.spare as spare, row_number() over (partition by s order by -top.less desc) as i from best
+        ), walk(s, i, remains, size, k) as (
+            select distinct s, 0::bigint, abs(miss)::double, null::bigint, 0::bigint from steps
+            union all
+            select w.s, p.i, w.remains - least(p.spare, floor(w.remains / p.size)::bigint) * p.size, p.size, least(p.spare, floor(w.remains / p.size)::bigint)
+            from walk w join steps p on p.s = w.s and p.i = w.i + 1
+        ), totals as (
+            select c.s, c.size, c.n, c.rate, c.total + coalesce((case when miss > 0 then 1 else -1 end) * k, 0) as total
+            from cut c join misses m on m.s = c.s left join walk on walk.s = c.s and walk.size = c.size
+        ), dealt as (
+            select doc_id, docs.size, per.s, row_number() over (partition by per.s, docs.size order by h, doc_id nulls first) - 1 as j from docs join per on docs.source is not distinct from per.source
+        )
+        select doc_id, d.size, source_size, target, round(rate, 6) as rate, (((j + 1) * total) // n - (j * total) // n)::int as copies,
+            d.size * (((j + 1) * total) // n - (j * total) // n)::bigint as taken
+        from dealt d join totals t on t.s = d.s and t.size = d.size join targets g on g.s = d.s
+    """,
     "op8_minhash": r"""
         with recursive words as (
             select row_number() over () as r, doc_id,

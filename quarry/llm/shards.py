@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import columns, stage
+from .base import columns, shuffled, stage
 
 #: Rows that one task ranks together, about.
 RANKED = 20_000
 
 
-def shuffled(seed: int, doc_id: Column, text: Column) -> Column:
-    """60 bits of MD5 of seed, id and text: a shuffle that any engine can say again."""
-    own = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text)
-    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
-
-
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 0, strata: str = "source") -> DataFrame:
     """Cut `docs` into shards whose row counts differ by one at most and whose strata match the whole's mixture.
 
