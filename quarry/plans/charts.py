@@ -293,7 +293,7 @@ def _audited(spark: SparkSession, d: str, fix: bool) -> DataFrame:
 
 _AUDIT = """
     with a as (select o_orderkey, o_custkey c, o_orderkey % 8 k, case o_orderkey % 3 when 0 then 'plotly_export' when 1 then 'echarts' else 'fusion_clean' end dataset from orders),
-    f as (select *, (k = 5)::int broken, case k when 1 then 4 else 0 end::int invalid_attributes, (k = 2)::int canvas_not_512, (k = 3)::int root_overflow_unclipped,
+    f as (select *, (k = 5)::int broken, case k when 1 then 4 else 0 end::int invalid_attributes, (k = 2 and c <> 512)::int canvas_not_512, (k = 3)::int root_overflow_unclipped,
         (k in (3, 6, 7))::int has_x_axis, (k in (4, 6, 7))::int has_y_axis, case k when 3 then 'y' when 4 then 'x' else '' end missing_cartesian_axis,
         case when dataset <> 'plotly_export' then 0 when k = 6 then 2 when k = 7 then 1 else 0 end::int unclipped_plotly_layers from a)"""
 
@@ -322,9 +322,9 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "audit_repairs",
     _AUDIT + f"""
-    select o_orderkey, (k in (1, 2, 3) or (k = 6 and dataset = 'plotly_export'))::int fixed, case
+    select o_orderkey, (k in (1, 3) or (k = 2 and c <> 512) or (k = 6 and dataset = 'plotly_export'))::int fixed, case
         when k = 1 then '{_NS} viewBox="0 0 512 512" width="512" height="512"><rect style="stroke: red" width="' || c || '"/><g/></svg>'
-        when k = 2 then '{_NS} viewBox="0 0 512 512" width="512" height="512"/>'
+        when k = 2 and c <> 512 then '{_NS} viewBox="0 0 512 512" width="512" height="512"/>'
         when k = 3 then '{_NS} viewBox="0 0 512 512" width="512" height="512" overflow="hidden"><g class="xaxislayer-above" id="g' || c || '"/></svg>'
         when k = 6 and dataset = 'plotly_export' then '{_NS} viewBox="0 0 512 512" width="512" height="512"><clipPath id="plot1"><rect/></clipPath><g class="xaxis yaxis"/><g class="plot" clip-path="url(#plot1)"><g class="trace"/><g class="bar trace" clip-path="url(#z)"/></g><g class="scatter" id="g' || c || '" clip-path="url(#plot1)"/></svg>'
         end svg from f""",
