@@ -91,6 +91,24 @@ ORACLE_SQL: dict[str, str] = {
             vec_id is not distinct from c as kept
         from v join component using (r)
     """,
+    "op4_suffixes": r"""
+        with docs as (select row_number() over () as r, doc_id, hex(encode(coalesce("text", ''))) as h from documents),
+        places as (select r, unnest(range(0, len(h) // 2 - 199)) as i, h from docs),
+        strings as (select r, i, md5(substr(h, 2 * i + 1, 400)) as m from places),
+        again as (select r, i from (select r, i, count(*) over (partition by m) as n from strings) where n > 1),
+        next as (select r, i, lag(i) over (partition by r order by i) as p from again),
+        runs as (select r, i, sum(case when p is null or i - p > 200 then 1 else 0 end) over (partition by r order by i) as g from next),
+        spans as (select r, min(i) as a, max(i) + 200 as b from runs group by r, g),
+        parts as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as p from spans),
+        pieces as (
+            select r, a, substr(h, 2 * p + 1, 2 * (a - p)) as piece from parts join docs using (r)
+            union all select r, len(h), substr(h, 2 * max(b) + 1) from spans join docs using (r) group by r, h
+        ), kept as (select r, string_agg(piece, '' order by a) as k from pieces group by r),
+        gone as (select r, sum(b - a) as n_removed, count(*) as n_spans from spans group by r)
+        select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+            sha256(unhex(coalesce(k, h))) as kept_sha256
+        from docs left join kept using (r) left join gone using (r)
+    """,
     "op5_sharding": r"""
         with bits as (select i, list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) r(i)),
         crc as (select list(v order by i) as t from bits),
