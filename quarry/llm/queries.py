@@ -76,6 +76,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FINITE = "len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substrings": r"""
+        with docs as (
+            select row_number() over () as r, doc_id, "text" as body, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as tokens from documents
+        ), words as (
+            select r, unnest(tokens) as token, unnest(range(len(tokens))) as i from docs
+        ), marked as (
+            select r, i, token, regexp_extract(token, '^[^\x20\x09-\x0D]+') as word from words
+        ), ended as (
+            select r, i, token, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+                contains(token, chr(10)) or right(regexp_extract(word, '^((?s).+?)["'')\]}]{0,2}$', 1), 1) in ('.', '!', '?', ';', ':', ',', '。', '！', '？', '，') as last
+            from marked
+        ), numbered as (
+            select r, i, token, low, coalesce(sum(last::int) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0)::int as k from ended
+        ), sentences as (
+            select r, k, min(i) as f, max(i) + 1 as u, string_agg(token, '' order by i) as body, string_agg(low, ' ' order by i) as low from numbered group by r, k
+        ), runs as (
+            select a.r, a.k as i, min(b.k) as j from sentences a join sentences b on a.r = b.r and b.k between a.k + 1 and a.k + 25 and b.u - a.f >= 20 group by all
+            union select a.r, max(b.k) as i, a.k as j from sentences a join sentences b on a.r = b.r and b.k between a.k - 25 and a.k - 1 and a.u - b.f >= 20 group by a.r, a.k
+            union select r, k, k from sentences where u - f >= 20
+        ), hashed as (
+            select runs.r, doc_id, i, j, md5(string_agg(low, ' ' order by k)) as h
+            from runs join docs using (r) join sentences s on s.r = runs.r and s.k between runs.i and runs.j group by runs.r, doc_id, i, j
+        ), again as (
+            select *, count(*) over (partition by h) as n, min({'none': doc_id is not null, 'd': doc_id, 'p': i}) over (partition by h) as first from hashed
+        ), cuts as (
+            select r, i, j from again where n > 1 and (doc_id is distinct from first.d or i <> first.p)
+        ), gone as (
+            select distinct s.r, s.k from sentences s join cuts on cuts.r = s.r and s.k between cuts.i and cuts.j
+        ), flagged as (
+            select s.r, s.k, s.body, g.k is not null as gone, lag(g.k is not null) over (partition by s.r order by s.k) as before from sentences s left join gone g on g.r = s.r and g.k = s.k
+        ), totals as (
+            select r, count(*) as n, count(*) filter (gone) as removed, count(*) filter (gone and not coalesce(before, false)) as spans, string_agg(case when gone then '' else body end, '' order by k) as kept from flagged group by r
+        )
+        select doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+            case when removed > 0 then regexp_extract(body, '^[\x20\x09-\x0D]*') || kept else body end as "text"
+        from docs left join totals using (r)
+    """,
     "op2_covertree": f"""
         with recursive v as (
             select row_number() over () as r, vec_id, coalesce({_FINITE}, false) as valid, embedding::double[] as e from embeddings
