@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -124,6 +125,19 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library: freed memory stays with the process
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def portions(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The rows of batches in order, as batches of at most `limit` bytes of text, or one row.
 
@@ -136,6 +150,8 @@ def portions(batches: Iterable[pa.RecordBatch], column: str | int, limit: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        release()
+    release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

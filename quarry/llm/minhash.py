@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, columns, connected_components, groups, lower_ascii, mix64, place_of, placed, row_hash, span_hashes, stage, utf8, words
+from .base import checkpoint, columns, connected_components, groups, lower_ascii, mix64, place_of, placed, portions, release, row_hash, span_hashes, stage, utf8, words
 
 WIDTH = 5
 #: A pair is linked if 100 * intersection >= percent * union; the percent of op8_minhash.
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] |
     n_bands, rows = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", 1 << 23):
             data, offsets = utf8(batch.column("text"))
             i, n = 0, batch.num_rows
             while i < n:
@@ -306,6 +306,8 @@ def _confirm(found: pa.Table, percent: int = PERCENT) -> pa.Table:
             sets.append(own)
             ids.append(h1[i])
     pairs = exact_links(sets, percent) if len(sets) > 1 else []
+    if sum(map(len, sets)) > 1 << 16:
+        release()
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 

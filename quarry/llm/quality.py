@@ -319,7 +319,7 @@ def score(docs: DataFrame, model: Model, held: int = 2) -> DataFrame:
     id_type = kept.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", 1 << 23):
             q = model.quality(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(q)], ["doc_id", "score"])
 

@@ -89,7 +89,7 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _explode(batches: Iterator[pa.RecordBatch], both_ends: bool = False) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text", 1 << 23):
         data, offsets = utf8(batch.column("text"))
         for i, j in _parts(offsets):
             at = offsets[i : j + 1]

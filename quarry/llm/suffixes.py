@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, mix64, portions, powers, stage, utf8
+from .base import columns, mix64, portions, powers, release, stage, utf8
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor its windows.
 LENGTH, GRAM = 200, 64
@@ -210,6 +210,7 @@ def _matched(batches: Iterator[pa.RecordBatch], held: int = HELD, batch_size: in
             take = pa.array(of[begin[s]])
             yield pa.RecordBatch.from_arrays([a.take(take), c.take(take), pa.array(pos[begin[s]], pa.int32()), pa.array((end - begin)[s], pa.int32())], ["a", "c", "skip", "windows"])
         family, known = Family(batch=batch_size), []
+        release()
 
     for whole in batches:
         if not whole.num_rows:
@@ -239,7 +240,7 @@ def _matched(batches: Iterator[pa.RecordBatch], held: int = HELD, batch_size: in
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of all contexts that each text was asked for; a text comes once with the list of them."""
-    for batch in batches:
+    for batch in portions(batches, "text", 1 << 23):
         data, offsets = utf8(batch.column("text"))
         asked = batch.column("asked")
         flat, many = asked.flatten(), np.asarray(pa.compute.list_value_length(asked))
