@@ -383,3 +383,15 @@ def running_fills(spark: SparkSession, d: str) -> DataFrame:
     svg = _join('<svg><path d="a"/><path d="b" fill="', rgb, '"/><path d="c"/><path d="d" fill="#000000"/><path d="e"/></svg>')
     p = read(spark, d, "part").select("p_partkey", svg.alias("svg"))
     return tree.edited(p, "svg", [tree.simplify_gradients]).select("p_partkey", "svg")
+
+
+@query(
+    "nested_view_boxes",
+    f"""
+    select p_partkey, '{_NS} viewBox="0 0 512 512" width="512" height="512"><rect width="512" height="512" x="0" y="0" fill="white"/><g transform="translate(-20.0 -10.0)"><svg viewBox="0.0 2.0 ' || format('{{:.1f}}', p_size * 2.0::double) || ' 8.0" width="'
+        || format('{{:.1f}}', p_size * 2.0::double) || '"/></g></svg>' svg from part""",
+)
+def nested_view_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Drawings inside a drawing scale with it, and the origin of the outer view box is taken off."""
+    svg = _join('<svg viewBox="10 5 256 256"><svg viewBox="0,1 ', F.col("p_size"), ' 4" width="', F.col("p_size"), '"/></svg>')
+    return tree.rewritten(read(spark, d, "part").select("p_partkey", svg.alias("raw")), "raw", tree.normalize).select("p_partkey", "svg")

@@ -155,3 +155,22 @@ def token_words(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", _join("<r> at ", F.col("p_size"), ", <r>w; <c> @ ", F.col("p_size")).alias("raw"))
     words = {"<r>": "rect", "<r>w": "rect wide", "<c>": "circle", "rect": "never"}
     return codec.mapped_words(p, "raw", words, "text").select("p_partkey", "text")
+
+
+@query(
+    "token_contents",
+    """
+    select p_partkey, '[<|START_OF_SVG|>][<|text|>][<|id=|>]a_' || p_size as open_ended, 'a b' || p_size as spaced, 'a_b' || p_size as kept, 9::int n_tokens,
+        '[<|text|>] [<|id=|>] a _ b ' || p_size || ' [<|/text|>]' joined from part""",
+)
+def token_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens without an end run to the end; underscores are spaces where asked; a list of tokens joins to a text again."""
+    from quarry.functions import text as T
+
+    n = F.col("p_size")
+    tokens = _join("[<|START_OF_SVG|>][<|text|>][<|id=|>]a_b", n, "[<|/text|>][<|END_OF_SVG|>]")
+    p = read(spark, d, "part").select("p_partkey", _join("so: [<|START_OF_SVG|>][<|text|>][<|id=|>]a_", n).alias("said"), tokens.alias("tokens"))
+    p = codec.decoded(codec.decoded(p, "tokens", "plain"), "tokens", "wide", spaces=True)
+    own = lambda c: F.regexp_extract(c, 'id="([^"]*)"', 1)
+    listed = codec.token_list(F.col("tokens"))
+    return p.select("p_partkey", T.outer_svg(F.col("said")).alias("open_ended"), own("wide").alias("spaced"), own("plain").alias("kept"), F.size(listed).alias("n_tokens"), F.array_join(F.slice(listed, 2, 7), " ").alias("joined"))

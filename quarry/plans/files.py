@@ -275,3 +275,26 @@ def turn_states(spark: SparkSession, d: str) -> DataFrame:
     run = streaming.scheduled_turns(stream, "conv_id", 3).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", seen).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+@query("chart_table", "select p_partkey, 'echarts' as dataset, '<svg>' || p_size || '</svg>' svg from part where p_partkey % 3 = 1")
+def chart_table(spark: SparkSession, d: str) -> DataFrame:
+    """Charts written by data set and read again for one of them: the folders of the others are not opened."""
+    path = sinks.scratch(spark, "table")
+    name = F.element_at(F.array(F.lit("plotly_export"), F.lit("echarts"), F.lit("fusion_clean")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    svg = F.concat(F.lit("<svg>"), F.col("p_size").cast("string"), F.lit("</svg>"))
+    sinks.write_charts(read(spark, d, "part").select("p_partkey", name.alias("dataset"), svg.alias("svg")), path)
+    return spark.read.schema("p_partkey long, svg string, dataset string").parquet(path).where("dataset = 'echarts'").select("p_partkey", "dataset", "svg")
+
+
+@query(
+    "sharded_scan",
+    """
+    with h as (select c_custkey, c_name, list_reduce(list_prepend(0::bigint, list_transform(string_split(c_custkey::varchar, ''), lambda x: unicode(x)::bigint)), lambda a, x: (a * 31 + x) & 4294967295) h from customer)
+    select c_custkey, (h % 3)::int shard from h where c_custkey <> 7""",
+)
+def sharded_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every shard of a scan, by the stable hash of the id as text; the shards part the rows."""
+    c = read(spark, d, "customer").where("c_custkey <> 7").select("c_custkey")
+    parts = [sources.ScanOptions.of({"shards": "3", "shard": str(k)}).scan(c, "c_custkey", "c_custkey").withColumn("shard", F.lit(k)) for k in range(3)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
