@@ -1,8 +1,8 @@
 """Path, transform and style geometry of vector markup.
 
-What patterns can read (points, extents, token text, paths without arcs, styles, translations and rotations) is built from
-columns. Arcs, whose flags may stick to the next number, and other transforms are read in sequence: only texts with these
-go to Arrow-batched functions. Each is also a plain function of one value.
+What patterns can read (points, extents, token text, styles, translations and rotations) is built from columns. Other
+transforms are read in sequence: only texts with these go to Arrow-batched functions. Paths are read whole batches at a
+time, as arrays of bytes and of tokens. Each is also a plain function of one value.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .numeric import fixed, token_number
 from .text import COORDINATE, every
@@ -70,16 +73,26 @@ def _mapped(d: str, scale: Callable[[float, bool], str], plain: Callable[[float]
     return " ".join(out)
 
 
+def _one_decimal(v: float) -> str:
+    return f"{v:.1f}"
+
+
+def _two_decimals(v: float) -> str:
+    """At most two decimals, at least one."""
+    s = f"{v:.2f}"
+    return s[:-1] if s[-1] == "0" else s
+
+
 def path_scaled(d: str | None, scale: float) -> str | None:
     if d is None or len(d) < 2:
         return d
-    return _mapped(d, lambda v, _: str(round(v * scale, 1)), str)
+    return _mapped(d, lambda v, _: _one_decimal(v * scale), str)
 
 
 def path_unscaled(d: str | None, scale: float) -> str | None:
     if d is None or len(d) < 2 or not scale:
         return d
-    return _mapped(d, lambda v, _: str(round(v / scale, 2)), str)
+    return _mapped(d, lambda v, _: _two_decimals(v / scale), str)
 
 
 _CALL = re.compile(r"([a-zA-Z]+)\s*\(([^)]*)\)")
@@ -148,23 +161,182 @@ def _either(c: Column, plain: Column, native: Column, f: Callable[[str, float],
     return F.when(plain, native).otherwise(_udf(f)(F.when(~plain, c), scale.cast("double")))
 
 
-_COMMAND, _REST = r"([MmLlHhVvCcSsQqTtZz])([^MmLlHhVvCcSsQqTtZz]*)", r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-
-
-def _path(c: Column, f: Callable[[str, float], str], scale: Column, number: Callable[[Column], Column]) -> Column:
-    """Paths without arcs, whose flags may stick to what follows, as arrays of commands; the others in Python."""
-    text = F.regexp_replace(c, "NaN|nan|NAN|null", "0")
-    count = F.create_map(*[F.lit(x) for k, v in ARGUMENTS.items() for x in (k, v)])
-
-    def one(cmd: Column, rest: Column) -> Column:
-        n = F.try_element_at(count, F.upper(cmd))
-        args = F.regexp_extract_all(rest, F.lit(_REST), F.lit(0))
-        whole = F.slice(args, 1, F.when(n > 0, F.size(args) - F.size(args) % n).otherwise(0))
-        return F.array_join(F.concat(F.array(cmd), F.transform(whole, lambda x: number(x.cast("double")))), " ")
-
-    parts = F.zip_with(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(1)), F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(2)), one)
-    native = F.when(F.length(c) < 2, c).otherwise(F.array_join(parts, " "))
-    return _either(c, ~c.rlike("[Aa]"), native, f, scale)
+#: Kinds of bytes in paths: digits, the point, signs, commands, arcs; _ODD ones (exponents, NaN and null, not ASCII) are left to the plain function.
+_DIGIT, _POINT, _SIGN, _COMMAND, _ARC_COMMAND, _ODD = 1, 2, 3, 4, 5, 6
+_KINDS = bytes(
+    next((k for k, own in ((_DIGIT, b"0123456789"), (_POINT, b"."), (_SIGN, b"+-"), (_ARC_COMMAND, b"Aa"), (_COMMAND, b"MmLlHhVvCcSsQqTtZz"), (_ODD, b"eENn")) if c in own), _ODD if c > 127 else 0)
+    for c in range(256)
+)
+#: Arguments of each command as a token; -1 is what looks like a number and has no digit. All other tokens are numbers.
+_TOKENS = {x: n for k, n in ARGUMENTS.items() for x in (k, k.lower())} | dict.fromkeys((".", "-.", "+."), -1)
+_NUMBER = 99
+#: Bytes read at a time, numbers remembered, rounds of parting flags, and how many texts of one scale are worth arrays.
+_PORTION, _REMEMBERED, _ROUNDS, _FEW = 1 << 19, 100_000, 16, 32
+
+
+class _Numbers(dict):
+    """The text of a number to its mapped text; what is a command stays."""
+
+    def __init__(self, f: Callable[[float], str]):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[token] = out = token if token in _TOKENS else self.f(float(token))
+        return out
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges beside each other: each item, and its place in its range."""
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(starts, counts) + place, place
+
+
+def _part_flags(data: np.ndarray, kind: np.ndarray, run: np.ndarray, first: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Marks in `first` where what sticks to a flag of an arc begins. Returns the bytes of flags that are left as they are."""
+    for _ in range(_ROUNDS):
+        at = np.flatnonzero(first)
+        k = kind[at]
+        edge = k >= _COMMAND
+        edge[(t := np.searchsorted(at, texts))[t < len(at)]] = True
+        edges = np.flatnonzero(edge)
+        arcs = k[edges] == _ARC_COMMAND
+        counts = np.diff(edges, append=len(at))[arcs] - 1
+        items, place = _ranges(edges[arcs] + 1, counts)
+        place %= 7
+        flags = at[items]
+        more = np.minimum(flags + 1, len(data) - 1)
+        stuck = ((place == 3) | (place == 4)) & (data[flags] >> 1 == 24) & (more > flags) & run[more] & ~first[more]
+        if not stuck.any():
+            return flags[:0]
+        own = np.repeat(np.arange(len(counts)), counts)[stuck]
+        first[flags[stuck][np.r_[True, own[1:] != own[:-1]]] + 1] = True
+    return flags[stuck]
+
+
+def _mapped_portion(data: np.ndarray, ends: np.ndarray, numbers: _Numbers) -> tuple[pa.Array, np.ndarray]:
+    """Mapped paths of texts that lie beside each other, and which of them have to be read by the plain function."""
+    texts, n = ends[:-1], len(data)
+    kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    odd = np.zeros(len(texts), bool)
+    of = lambda at: np.searchsorted(texts, at, "right") - 1
+    if len(at := np.flatnonzero(kind == _ODD)):
+        odd[of(at)] = True
+    begins = np.zeros(n + 1, bool)
+    begins[texts] = True
+    # a token is a command, or a run of digits and points with the sign before it; a second point begins another token
+    run = (kind == _DIGIT) | (kind == _POINT)
+    sign = kind == _SIGN
+    sign[:-1] &= run[1:] & ~begins[1:n]
+    sign[-1:] = False
+    first = run.copy()
+    first[1:] &= ~run[:-1] | begins[1:n]
+    points = np.flatnonzero(kind == _POINT)
+    of_run = np.cumsum(first, dtype=np.int32)[points]
+    first[points[1:][of_run[1:] == of_run[:-1]]] = True
+    first[1:] &= ~sign[:-1]
+    command = (kind == _COMMAND) | (kind == _ARC_COMMAND)
+    first |= sign | command
+    has_arcs = bool((kind == _ARC_COMMAND).any())
+    if has_arcs and len(left := _part_flags(data, kind, run, first, texts)):
+        odd[of(left)] = True
+    inside = run | sign | command
+    starts = np.flatnonzero(first[inside])
+    held = data[inside]
+    bounds = np.append(starts, len(held)).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(held)).dictionary_encode()
+    codes, distinct = tokens.indices.to_numpy(), tokens.dictionary.to_pylist()
+    arity = np.array([_TOKENS.get(t, _NUMBER) for t in distinct], np.int8)
+    per = np.searchsorted(np.flatnonzero(first), ends)
+    takes = arity[codes]
+    if (arity == -1).any():
+        odd[np.searchsorted(per[:-1], np.flatnonzero(takes == -1), "right") - 1] = True
+    # parts of a command and what follows it; numbers before the first command have none, and are dropped
+    edge = takes < 8
+    edge[(t := per[:-1])[t < len(codes)]] = True
+    edges = np.flatnonzero(edge)
+    counts, wants = np.diff(edges, append=len(codes)), takes[edges]
+    used = np.where(wants == _NUMBER, 0, 1 + np.where(wants > 0, (counts - 1) // np.maximum(wants, 1) * wants, 0))
+    outs = list(map(numbers.__getitem__, distinct))
+    if has_arcs:
+        codes = codes.copy()
+        arcs = wants == 7
+        items, place = _ranges(edges[arcs] + 1, used[arcs] - 1)
+        place %= 7
+        for at, say in ((items[place == 2], lambda t: str(float(t))), (items[(place == 3) | (place == 4)], lambda t: str(int(float(t))))):
+            here = np.zeros(len(distinct), bool)
+            here[codes[at]] = True
+            own = np.flatnonzero(here)
+            new = np.zeros(len(distinct), codes.dtype)
+            new[own] = len(outs) + np.arange(len(own))
+            codes[at] = new[codes[at]]
+            outs += [say(distinct[i]) for i in own]
+    if (used != counts).any():
+        items, _ = _ranges(edges, used)
+        codes, per = codes[items], np.searchsorted(items, per)
+    said = pa.array(outs, pa.large_string()).take(pa.array(codes))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(per, pa.int32()), said), pa.scalar(" ", pa.large_string())), odd
+
+
+def _paths_mapped(paths: pa.Array, numbers: _Numbers, plain: Callable[[str], str]) -> pa.Array:
+    """Paths, none of them null, in portions of some hundred thousand bytes or of one path."""
+    paths = paths.cast(pa.large_string())
+    ends = np.frombuffer(paths.buffers()[1], np.int64)[paths.offset : paths.offset + len(paths) + 1]
+    data = np.frombuffer(paths.buffers()[2] or b"", np.uint8)
+    out, i = [], 0
+    while i < len(paths):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _PORTION, "right")) - 1)
+        own = ends[i : j + 1]
+        done, odd = _mapped_portion(data[own[0] : own[-1]], own - own[0], numbers) if own[-1] > own[0] else (paths.slice(i, j - i), np.zeros(j - i, bool))
+        odd |= np.diff(own) < 2
+        if odd.any():
+            done = pc.replace_with_mask(done, pa.array(odd), pa.array([plain(paths[i + int(k)].as_py()) for k in np.flatnonzero(odd)], pa.large_string()))
+        out.append(done)
+        i = j
+    return pa.concat_arrays(out)
+
+
+def _path(c: Column, scale: Column | float, f: Callable[[str, float], str], number: Callable[[float, float], str]) -> Column:
+    """Paths mapped in batches; `f` is the plain function of one path, `number` that of one number. No scale, no path.
+
+    By a scale that is a plain number, one mapping of another's result shares its trip to Python.
+    """
+    known: dict[float, _Numbers] = {}
+
+    def by_one(paths: pa.Array, s: float) -> pa.Array:
+        if len(paths) < _FEW or not s:
+            return pa.array([f(t, s) for t in paths.to_pylist()], pa.large_string())
+        if s not in known:
+            if len(known) >= 4:
+                known.clear()
+            known[s] = _Numbers(lambda v: number(v, s))
+        return _paths_mapped(paths, known[s], lambda t: f(t, s))
+
+    def spread(done: pa.Array, there: pa.Array) -> pa.Array:
+        if len(done) == len(there):
+            return done
+        there = there.to_numpy(zero_copy_only=False)
+        return done.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+    def run(paths: pa.Array) -> pa.Array:
+        there = paths.is_valid()
+        return spread(by_one(paths.filter(there), scale), there).cast(paths.type)
+
+    def run_by(paths: pa.Array, scales: pa.Array) -> pa.Array:
+        there = pc.and_(paths.is_valid(), scales.is_valid())
+        paths, scales = paths.filter(there), scales.filter(there).to_numpy(zero_copy_only=False)
+        order = np.argsort(scales, kind="stable")
+        at = np.split(order, np.flatnonzero(np.diff(scales[order]) != 0) + 1)
+        done = pa.concat_arrays([by_one(paths.take(pa.array(i)), float(scales[i[0]])) for i in at if len(i)] or [pa.array([], pa.large_string())])
+        return spread(done.take(pa.array(np.argsort(order))), there).cast(paths.type)
+
+    if isinstance(scale, Column):
+        run_by.__annotations__ = {"paths": pa.Array, "scales": pa.Array, "return": pa.Array}
+        return arrow_udf(run_by, "string")(c, scale.cast("double"))
+    run.__annotations__ = {"paths": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "string")(c)
 
 
 def _two(v: Column) -> Column:
@@ -172,12 +344,12 @@ def _two(v: Column) -> Column:
     return F.regexp_replace(fixed(v, 2), "0$", "")
 
 
-def scale_path(c: Column, scale: Column) -> Column:
-    return _path(c, path_scaled, scale, lambda v: fixed(v * scale, 1))
+def scale_path(c: Column, scale: Column | float) -> Column:
+    return _path(c, scale, path_scaled, lambda v, s: _one_decimal(v * s))
 
 
-def unscale_path(c: Column, scale: Column) -> Column:
-    return F.when(scale == 0, c).otherwise(_path(c, path_unscaled, scale, lambda v: _two(v / F.nullif(scale, F.lit(0.0)))))
+def unscale_path(c: Column, scale: Column | float) -> Column:
+    return _path(c, scale, path_unscaled, lambda v, s: _two_decimals(v / s))
 
 
 #: Translations and rotations by numbers of usual size; other functions, and numbers that print otherwise, go to Python.

@@ -138,7 +138,7 @@ def path_scale_ml(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.col(c).cast("decimal(20,4)").cast("string")
     path = F.concat(F.lit("M"), text("l_quantity"), F.lit(","), text("l_extendedprice"), F.lit("L"), text("l_partkey"), F.lit(" "), text("l_suppkey"))
     multi = F.concat(F.lit("M"), text("l_partkey"), F.lit(" 0ZM"), text("l_suppkey"), F.lit(" 0l1 1"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.scale_path(path, F.lit(0.37)).alias("path"), G.scale_path(multi, F.lit(0.37)).alias("multi"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.scale_path(path, 0.37).alias("path"), G.scale_path(multi, 0.37).alias("multi"))
 
 
 @query(
@@ -156,8 +156,7 @@ def path_unscale_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     line = join("M ", x, " ", y)
     arcs = join("M", x, " 0A5 5 30 01", y, ",", x, "a5,5,0 10", x, " ", y, " 7")
     curves = join("C", x, " ", y, ",", x, " ", y, ",", x, " ", y, "S", x, " ", y, " ", y, " ", x, "q", x, ",", y, ",", x, ",", y, " 1T", y, " ", x, "H", x, "v", y, "Z")
-    s = F.lit(0.37)
-    back = lambda p: G.unscale_path(G.scale_path(p, s), s)
+    back = lambda p: G.unscale_path(G.scale_path(p, 0.37), 0.37)
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", back(line).alias("line"), back(arcs).alias("arcs"), back(curves).alias("curves"))
 
 
